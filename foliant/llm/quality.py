@@ -102,7 +102,7 @@ class DecisionList:
         return F.expr("case " + " ".join(f"when {r.sql()} then {k}" for k, r in enumerate(self.rules, 1)) + " else 0 end")
 
 
-def learn(labelled: DataFrame, bins: int = 16, most_rules: int = 12, most_parts: int = 3, precision: float = 0.9, least: int = 3) -> DecisionList:
+def learn(labelled: DataFrame, bins: int = 12, most_rules: int = 12, most_parts: int = 3, precision: float = 0.9, least: int = 3) -> DecisionList:
     """Learn a list from ``FEATURES``, ``doc_id`` and ``bad`` (1: reject) of labelled rows.
 
     Rows whose hash of doc_id falls in the last third prune, the others grow.
@@ -114,7 +114,10 @@ def learn(labelled: DataFrame, bins: int = 16, most_rules: int = 12, most_parts:
     sides = rows.groupBy("bad").agg(*[F.percentile_approx(f, marks, 10_000).alias(f) for f in FEATURES]).collect()
     if len(sides) < 2:
         return DecisionList()
-    cuts = {f: sorted({float(v) for r in sides for v in r[f]} | {0.0}) for f in FEATURES}
+    cuts = {}
+    for f in FEATURES:  # quantiles of either label's rows, and the middles between them
+        marks_f = sorted({float(v) for r in sides for v in r[f]} | {0.0})
+        cuts[f] = sorted({*marks_f, *((a + b) / 2 for a, b in zip(marks_f, marks_f[1:], strict=False))})
     # A value's bin: how many thresholds lie below it.
     binned = F.array(*[F.struct(F.lit(k).alias("f"), reduce(lambda a, b: a + b, [(F.col(f) > c).cast("int") for c in cuts[f]]).alias("b")) for k, f in enumerate(FEATURES)])
     rows = common.cut(rows.withColumn("bins", binned))
