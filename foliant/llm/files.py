@@ -23,7 +23,7 @@ def written_whole(uri: str):
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     try:
-        with store.open_output_stream(part) as sink:
+        with store.open_output_stream(part, compression=None) as sink:
             yield sink
         store.move(part, path)
     except BaseException:
