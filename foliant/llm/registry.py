@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_files", "bpe_tree", "feistel", "quality", "chat", "warc", "toxicity", "jaccard", "tiling")
+MODULES = ("token_files", "bpe_tree", "feistel", "quality", "chat", "warc", "toxicity", "jaccard", "tiling", "pseudo")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
