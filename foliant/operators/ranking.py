@@ -36,9 +36,10 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """``df``, which fails at run time on a null, empty or repeated key."""
-    n = F.count("*").over(W.partitionBy(key))
-    bad = F.col(key).isNull() | (F.col(key).cast("string") == "") | (n > 1)
-    return df.where(F.when(bad, F.raise_error(F.concat(F.lit(f"missing or duplicate {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True)))
+    counted = df.withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    bad = F.col(key).isNull() | (F.col(key).cast("string") == "") | (F.col("_n") > 1)
+    said = F.concat(F.lit(f"missing or duplicate {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return counted.where(F.when(bad, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))).drop("_n")
 
 
 def most_common(df: DataFrame, value: str | Column, ordinal: str, k: int) -> DataFrame:
