@@ -173,24 +173,29 @@ def learn(labelled: DataFrame, bins: int = 12, most_rules: int = 12, most_parts:
     return DecisionList(rules)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the statistics, ``rule`` (first that holds, 0: none) and ``kept``.
+def learned(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
+    """The statistics of ``docs`` (doc_id, text), written without the texts, and a list
+    learned from those of the documents that pass the base test and have a label.
 
-    Rules learn from every label with ``quality`` 0 or 1 (a repeated doc_id in
-    ``labels`` counts as bad if any of its rows is) among documents that pass the
-    base test.  Null texts fail it.  Columns of ``docs`` stay, except that ones
-    with the names of added columns are replaced.
+    Only these few numbers of each document meet the labels.  Labels other than
+    0 and 1 are left out; a repeated doc_id counts as bad if any of its rows is.
     """
-    stats = with_statistics(docs)
+    stats = common.stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("bad"))
-    few = docs.select("doc_id", "text").join(marked, "doc_id")
-    found = learn(common.cut(with_statistics(few).drop("text")).where("not base_failed"))
-    return stats.withColumn("rule", found.column()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return stats, learn(stats.where("not base_failed").join(marked, "doc_id"))
+
+
+def judged(stats: DataFrame, rules: DecisionList) -> DataFrame:
+    """``stats`` with ``rule`` (the first that holds, 0: none) and ``kept``.
+
+    Null and empty texts fail the base test and are not kept.
+    """
+    return stats.withColumn("rule", rules.column()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
-    return judge(docs.select("doc_id", "text"), labels).select("doc_id", *BASE, "base_failed", "kept", "rule")
+    return judged(*learned(docs, labels)).select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_quality_rules": op6_quality_rules}
