@@ -91,7 +91,12 @@ def inventory(papers_df: DataFrame) -> DataFrame:
 
 def discussion(papers_df: DataFrame) -> DataFrame:
     """Rebuttals, then comments, of each paper: (paper, msg, kind, message fields)."""
-    both = [F.transform(F.coalesce(F.col(k), F.array().cast(T.ArrayType(MESSAGE_TYPE))), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("m"))) for k in ("rebuttals", "reviewer_comments")]
+    empty = F.array().cast(T.ArrayType(MESSAGE_TYPE))
+
+    def tagged(kind: str):
+        return F.transform(F.coalesce(F.col(kind), empty), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("m")))
+
+    both = [tagged(k) for k in ("rebuttals", "reviewer_comments")]
     rows = papers_df.select(paper_id().alias("paper"), F.posexplode(F.concat(*both)).alias("msg", "x"))
     return rows.select("paper", "msg", "x.kind", "x.m.*").withColumnRenamed("comment", "text")
 
