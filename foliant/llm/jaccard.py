@@ -215,15 +215,14 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             to = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
             edges = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             first = False
+        common.tidy(links.sparkSession)
         edges = common.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if edges.isEmpty():
             return labels
         both = edges.union(edges.select("b", "a"))
-        hook = common.cut(both.groupBy("a").agg(F.min("b").alias("to")).where("to < a"))
-        for _ in range(2):
-            onward = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to"))
-        hook = common.cut(hook)
+        hook = both.groupBy("a").agg(F.min("b").alias("to")).where("to < a")
+        onward = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        hook = common.cut(hook.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")))
         root = lambda c: hook.select(F.col("a").alias(c), F.col("to").alias(f"_{c}"))
         labels = common.cut(labels.join(root("comp"), "comp", "left").select("node", F.coalesce("_comp", "comp").alias("comp")))
         edges = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
@@ -261,11 +260,13 @@ def classes(docs: DataFrame, words: int = 4, per_cent: int = 85) -> DataFrame:
     chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node")
     sets = common.stored(_sets(rows.join(chosen, "doc_id").select("node", "text"), words, per_cent, sketch), "sets")
 
+    common.tidy(spark)
     labels = components(_links(pairs, sets, per_cent))
     blocks = shared.drop("head")
     step = math.log(1.02)
     bucket = lambda n: F.floor(F.log(n) / step).cast("int")
     for round_ in range(1, STARS + 1):
+        common.tidy(spark)
         now = blocks.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed_tokens = now.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         now = now.join(mixed_tokens, "token")
