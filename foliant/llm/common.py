@@ -69,7 +69,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_in = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that no later plan reads."""
+    drop_folder(df.sparkSession, df.stored_in)
 
 
 def utf8_bytes(text: str | Column) -> Column:

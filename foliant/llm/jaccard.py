@@ -228,6 +228,31 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         edges = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
 
 
+def _blocks(rows: DataFrame, words: int, per_cent: int, sketch, fits) -> DataFrame:
+    """(token, node, pos, n, head) of the tokens that two nodes or more share; ``head``
+    is the block's most central node (pos, node, n).
+
+    What this takes on the way (keys and their exchange) goes when it returns.
+    """
+    keys = common.stored(_keys(rows, words, per_cent, sketch), "keys")
+    dealt = keys.repartition("token")  # one exchange: the blocks' heads and their rows meet in place
+    row = F.struct("pos", "node", "n")
+    heads = dealt.groupBy("token").agg(F.min(row).alias("head"), F.max(row).alias("tail"), F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("c")).where("least <> most")
+    # Of a block of two rows the pair is known: without a chance it needs no further look.
+    head, tail = F.col("head"), F.col("tail")
+    heads = heads.where((F.col("c") > 2) | fits(head["n"], head["pos"], tail["n"], tail["pos"]))
+    shared = common.stored(dealt.join(heads.select("token", "head"), "token").dropDuplicates(["token", "node"]), "blocks")
+    common.discard(keys)
+    return shared
+
+
+def _involved_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words: int, per_cent: int, sketch) -> DataFrame:
+    """Sets and prefixes of the nodes that share a token, each from one of its documents."""
+    involved = shared.select("node").distinct()
+    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node")
+    return common.stored(_sets(rows.join(chosen, "doc_id").select("node", "text"), words, per_cent, sketch), "sets")
+
+
 def classes(docs: DataFrame, words: int = 4, per_cent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -244,24 +269,19 @@ def classes(docs: DataFrame, words: int = 4, per_cent: int = 85) -> DataFrame:
     sketch = spark.sparkContext.broadcast(_summed(both.where("kind = 1")))
     members = both.where("kind = 0").select("doc_id", "node", "n")
 
-    keys = common.stored(_keys(rows, words, per_cent, sketch), "keys")
-    dealt = keys.repartition("token")  # one exchange: the blocks' heads and their rows meet in place
-    heads = dealt.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("head"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    shared = common.stored(dealt.join(heads.select("token", "head"), "token").dropDuplicates(["token", "node"]), "blocks")
-
-    # What two shared positions and lengths allow: |A and B| <= min(n - pos) of both sides.
     need = lambda n, m: F.ceil((n + m) * per_cent / (100 + per_cent) - 1e-9)
+    # What two shared positions and lengths allow: |A and B| <= min(n - pos) of both sides.
     fits = lambda n, p, m, q: F.least(n - p, m - q) >= need(n, m)
+    shared = _blocks(rows, words, per_cent, sketch, fits)
+    common.tidy(spark)
     head = F.col("head")
     stars = shared.where((F.col("node") != head["node"]) & fits(F.col("n"), F.col("pos"), head["n"], head["pos"]))
     pairs = stars.select(F.least("node", head["node"]).alias("a"), F.greatest("node", head["node"]).alias("b")).distinct()
 
-    involved = shared.select("node").distinct()
-    chosen = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(involved, "node")
-    sets = common.stored(_sets(rows.join(chosen, "doc_id").select("node", "text"), words, per_cent, sketch), "sets")
-
+    sets = _involved_sets(rows, members, shared, words, per_cent, sketch)
     common.tidy(spark)
     labels = components(_links(pairs, sets, per_cent))
+    del stars, pairs
     blocks = shared.drop("head")
     step = math.log(1.02)
     bucket = lambda n: F.floor(F.log(n) / step).cast("int")
