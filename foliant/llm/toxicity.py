@@ -71,27 +71,29 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
-def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float = 1.0, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias: balanced logistic loss + ridge + fairness * mean squared logit change."""
-    x = np.zeros((len(rows), size), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r] = 1
-    y = np.array(labels, np.float32)
-    d = np.zeros((len(pairs), size), np.float32)
-    for k, (a, b) in enumerate(pairs):
-        d[k, a] += 1
-        d[k, b] -= 1
+def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float = 1.0, ridge: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias: balanced logistic loss + ridge + fairness * mean squared logit change.
+
+    Rows and pairs stay lists of places, so memory follows the words that occur.
+    """
+    flat = lambda lists: (np.repeat(np.arange(len(lists)), [len(r) for r in lists]), np.array([c for r in lists for c in r], np.int64))
+    row, col = flat(rows)
+    one, one_col = flat([a for a, _ in pairs])
+    two, two_col = flat([b for _, b in pairs])
+    pair, pair_col, sign = np.concatenate([one, two]), np.concatenate([one_col, two_col]), np.repeat([1.0, -1.0], [len(one), len(two)])
+    y = np.array(labels, np.float64)
     n1 = max(1.0, float(y.sum()))
-    share = np.where(y > 0, 0.5 / n1, 0.5 / max(1.0, len(y) - n1)).astype(np.float32)
-    w, b = np.zeros(size, np.float32), 0.0
+    share = np.where(y > 0, 0.5 / n1, 0.5 / max(1.0, len(y) - n1))
+    w, b = np.zeros(size), 0.0
     # Adam on the whole sample; the loss is convex.
     m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.1
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = share * (p - y)
-        gw, gb = x.T @ g + ridge * w, float(g.sum())
+        z = np.bincount(row, w[col], len(rows)) + b
+        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        gw, gb = np.bincount(col, g[row], size) + ridge * w, float(g.sum())
         if len(pairs):
-            gw = gw + (2 * fairness / len(pairs)) * (d.T @ (d @ w))
+            change = np.bincount(pair, sign * w[pair_col], len(pairs))
+            gw = gw + (2 * fairness / len(pairs)) * np.bincount(pair_col, sign * change[pair], size)
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.999**step
