@@ -38,6 +38,8 @@ from .shingles import contract_words, mixed, shingle_set, word_hashes
 SKETCH, PIECE = 1 << 20, 1 << 12
 #: Rounds in which nodes meet one node of each block before pairs are made.
 STARS = 2
+#: Candidate pairs that are verified at once, which bounds a worker's memory.
+AT_ONCE = 250
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -192,7 +194,15 @@ def _links(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     near = pairs.join(side("a", ["second", "third"]), "a").join(side("b", ["second", "third"]), "b")
     near = near.select("a", "b", "second_a", "third_a", "second_b", "third_b").mapInArrow(share, "a long, b long")
     far = near.join(side("a", ["shingles"]), "a").join(side("b", ["shingles"]), "b")
-    return common.cut(far.select("a", "b", "shingles_a", "shingles_b").mapInArrow(verify, "a long, b long"))
+    found = far.select("a", "b", "shingles_a", "shingles_b").mapInArrow(verify, "a long, b long")
+    # A row carries two whole sets: few of them go to Python at a time.
+    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, AT_ONCE)
+    try:
+        return common.cut(found)
+    finally:
+        conf.set(name, before)
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ class Bounded(dict):
 class WordBpe:
     """``kept`` bounds the dictionary's entries; it changes speed, never ids."""
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 250_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
