@@ -6,11 +6,11 @@ of words, then the word in its class.  A document's score is the sum over its
 words of their conditional log-probabilities.
 
 The corpus gives two things, in one pass over every document: counts of all its
-words, from which the vocabulary comes, and masked windows, one in ``RATE``
-positions of each document chosen by hash, so that both grow with the corpus.
-Each task then trains a replica in numpy on its share of the windows, and the
-replicas' mean starts the next round; replicas are added as they stream by,
-piece by piece, and only their mean, of fixed size, reaches the driver.
+words, from which the vocabulary comes, and the texts as streams of word hashes.
+Every position of every document is masked once in each round: each task trains a
+replica in numpy on its share of the streams, and the replicas' mean starts the
+next round; replicas are added as they stream by, piece by piece, and only their
+mean, of fixed size, reaches the driver.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ from .words import Bounded
 
 #: Words on each side, width, classes and words of a class, words that have an id of their own.
 SIDE, WIDTH, CLASSES, EACH, KNOWN = 2, 24, 32, 32, 768
-SIZE, RATE, ROUNDS, BATCH = CLASSES * EACH, 32, 2, 512
+SIZE, ROUNDS, BATCH = CLASSES * EACH, 2, 512
 TABLE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 #: First value of the sums of squared gradients.
 INIT = 1e-6
 #: Tokens that are scored at once, which bounds the memory of a long text.
 AT_ONCE = 65_536
+#: Values of a replica's parameters in one row.
+PIECE = 65_536
 _hash = Bounded(xxhash.xxh32_intdigest, 1_000_000)
 
 
@@ -58,31 +60,44 @@ def framed(ids: np.ndarray, edge: int) -> np.ndarray:
 EDGE = np.uint32(0)
 
 
-def gather(docs: DataFrame, rate: int = RATE) -> DataFrame:
-    """(kind 0: hash, count of a word in a batch; kind 1: windows as packed hashes)."""
+def gather(docs: DataFrame) -> DataFrame:
+    """(kind 0: hash, count of a word in a batch; kind 1: stream of word hashes).
+
+    ``SIDE`` edges stand before, between and after the texts of a stream; a long
+    stream is cut into pieces that overlap by ``SIDE`` places on both sides.
+    """
+    gap = np.full(SIDE, EDGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            met, cut = [], []
+            met = [gap]
             for text in b.column(0).to_pylist():
                 h = word_hashes(text)
                 if len(h):
-                    met.append(h)
-                    place = np.arange(len(h), dtype=np.uint64)
-                    with np.errstate(over="ignore"):
-                        draw = ((place + h) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-                    cut.append(framed(h, EDGE)[draw % np.uint64(rate) == 0])
-            if not met:
-                continue
-            words, counts = np.unique(np.concatenate(met), return_counts=True)
+                    met += [h, gap]
+            flat = np.concatenate(met)
+            words, counts = np.unique(flat[flat != EDGE], return_counts=True)
             n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(words.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(n, pa.binary())], ["kind", "hash", "count", "windows"])
-            flat = np.concatenate(cut)
-            parts = [flat[k : k + 4096].tobytes() for k in range(0, len(flat), 4096)]
+            if not n:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(words.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(n, pa.binary())], ["kind", "hash", "count", "stream"])
+            parts = [flat[k : k + AT_ONCE + 2 * SIDE].tobytes() for k in range(0, len(flat) - 2 * SIDE, AT_ONCE)]
             m = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.binary())], ["kind", "hash", "count", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.binary())], ["kind", "hash", "count", "stream"])
+
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, hash long, count long, stream binary")
+
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, hash long, count long, windows binary")
+def masked(stream: bytes, rate: int = 1) -> np.ndarray:
+    """Windows of a stream's words, the masked one in the middle; one in ``rate`` by hash."""
+    h = np.frombuffer(stream, np.uint32)
+    frames = np.lib.stride_tricks.sliding_window_view(h, 2 * SIDE + 1)
+    kept = frames[:, SIDE] != EDGE
+    if rate > 1:
+        with np.errstate(over="ignore"):
+            draw = ((np.arange(len(frames), dtype=np.uint64) + frames[:, SIDE]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        kept &= draw % np.uint64(rate) == 0
+    return frames[kept]
 
 
 @dataclass
@@ -141,32 +156,51 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.context, self.bias, self.classes, self.words]
 
-    def train(self, frames: np.ndarray, rate: float = 0.1) -> None:
-        """One pass of AdaGrad over rows of ids, the masked word in the middle."""
-        sums = [np.full_like(p, INIT) for p in self.parameters()]
+    def train(self, frames: np.ndarray, rate: float = 0.1, sums: list[np.ndarray] | None = None) -> None:
+        """One pass of AdaGrad over rows of ids, the masked word in the middle; ``sums``
+        of squared gradients go on from call to call."""
+        sums = self.fresh_sums() if sums is None else sums
+        sides = [j for j in range(2 * SIDE + 1) if j != SIDE]
+        at = (np.arange(2 * SIDE) * (SIZE + 1)).astype(np.int32)
+        context, context_sums = self.context.reshape(-1, WIDTH), sums[0].reshape(-1, WIDTH)
         for k in range(0, len(frames), BATCH):
             part = frames[k : k + BATCH]
-            target, around = part[:, SIDE], np.delete(part, SIDE, axis=1)
-            h, (c, w), m = self.hidden(around), np.divmod(target, EACH), np.float32(1 / len(part))
+            part = part[np.argsort((part[:, SIDE] // EACH).astype(np.int16), kind="stable")]  # words of a class stand together
+            n, m = len(part), np.float32(1 / len(part))
+            around, every = part[:, sides], np.arange(n)
+            h, (c, w) = self.hidden(around), np.divmod(part[:, SIDE], EACH)
             pc = softmax(h @ self.classes)
-            pc[np.arange(len(part)), c] -= 1
-            gh, g_classes, g_words = pc @ self.classes.T, h.T @ pc * m, np.zeros_like(self.words)
-            for q in np.unique(c):
-                mine = np.flatnonzero(c == q)
-                pw = softmax(h[mine] @ self.words[q])
-                pw[np.arange(len(mine)), w[mine]] -= 1
-                gh[mine] += pw @ self.words[q].T
-                g_words[q] = h[mine].T @ pw * m
-            gz = gh[:, :-1] * (1 - h[:, :-1] ** 2) * m
-            for p, s, g in ((self.bias, sums[1], gz.sum(0)), (self.classes, sums[2], g_classes), (self.words, sums[3], g_words)):
+            pc[every, c] -= 1
+            gh, g_classes = pc @ self.classes.T, h.T @ pc * m
+            starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            met, runs = c[starts], list(zip(c[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
+            pw, back, g_words = np.empty((n, EACH), np.float32), np.empty_like(h), np.empty((len(met), WIDTH + 1, EACH), np.float32)
+            for q, i, j in runs:
+                np.matmul(h[i:j], self.words[q], out=pw[i:j])
+            pw = softmax(pw)
+            pw[every, w] -= 1
+            for x, (q, i, j) in enumerate(runs):
+                np.matmul(pw[i:j], self.words[q].T, out=back[i:j])
+                np.matmul(h[i:j].T, pw[i:j], out=g_words[x])
+            g_words *= m
+            gz = (gh + back)[:, :-1] * (1 - h[:, :-1] ** 2) * m
+            for p, s, g in ((self.bias, sums[1], gz.sum(0)), (self.classes, sums[2], g_classes)):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
-            for j in range(2 * SIDE):
-                rows, place = np.unique(around[:, j], return_inverse=True)
-                g = np.zeros((len(rows), WIDTH), np.float32)
-                np.add.at(g, place, gz)
-                sums[0][j, rows] += g * g
-                self.context[j, rows] -= rate * g / np.sqrt(sums[0][j, rows])
+            now = sums[3][met] + g_words * g_words
+            sums[3][met] = now
+            self.words[met] -= rate * g_words / np.sqrt(now)
+            keys = (around + at).ravel()
+            order = np.argsort(keys)
+            keys = keys[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            rows, g = keys[starts], np.add.reduceat(gz.take(order // (2 * SIDE), axis=0), starts)
+            now = context_sums[rows] + g * g
+            context_sums[rows] = now
+            context[rows] -= rate * g / np.sqrt(now)
+
+    def fresh_sums(self) -> list[np.ndarray]:
+        return [np.full_like(p, INIT) for p in self.parameters()]
 
     def copy(self) -> Network:
         return Network(self.known, self.others, *(p.copy() for p in self.parameters()))
@@ -211,8 +245,9 @@ class Network:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    far = z.size and max(z.max(), -z.min()) > 60  # else nothing overflows or vanishes
+    e = np.exp(z - z.max(1, keepdims=True) if far else z)
+    return e / (e @ np.ones((z.shape[1], 1), z.dtype))
 
 
 def picked(z: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -242,10 +277,11 @@ def averaged(parts: DataFrame, pieces: int) -> list[np.ndarray]:
     return [found[k] for k in range(pieces)] if found else []
 
 
-def train(docs: DataFrame, rate: int = RATE, rounds: int = ROUNDS) -> Network:
-    """Learn from every document; an empty or wordless corpus gives an untrained network."""
+def train(docs: DataFrame, rate: int = 1, rounds: int = ROUNDS) -> Network:
+    """Learn from every position of every document, or from one in ``rate`` of them; an
+    empty or wordless corpus gives an untrained network."""
     spark = docs.sparkSession
-    seen = common.stored(gather(docs, rate), "gathered")
+    seen = common.stored(gather(docs), "gathered")
     counts = common.cut(seen.where("kind = 0").groupBy("hash").agg(F.sum("count").alias("n")))
     top = counts.where(F.col("hash") != 0).orderBy(F.desc("n"), "hash").limit(KNOWN).collect()
     distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -253,26 +289,30 @@ def train(docs: DataFrame, rate: int = RATE, rounds: int = ROUNDS) -> Network:
     shares[: len(top)] = [r["n"] for r in top]
     shares[KNOWN:] = (total - shares.sum()) / (SIZE - KNOWN)
     network = Network.fresh({int(r["hash"]): k for k, r in enumerate(top)}, distinct, shares)
-    windows = seen.where("kind = 1").select("windows")
+    streams = seen.where("kind = 1").select("stream")
+    pieces = -(-sum(p.size for p in network.parameters()) // PIECE)
     for round_ in range(rounds):
         given = spark.sparkContext.broadcast(network)  # under a megabyte, whatever the corpus
 
         def replicas(batches: Iterator[pa.RecordBatch], given=given, round_=round_) -> Iterator[pa.RecordBatch]:
-            own, n = given.value.copy(), 0
+            own, n, rng = given.value.copy(), 0, np.random.default_rng(11)
+            sums = own.fresh_sums()
             for b in batches:
-                for blob in b.column(0).to_pylist():
-                    h = np.frombuffer(blob, np.uint32).reshape(-1, 2 * SIDE + 1)
+                for blob in b.column(0):
+                    h = rng.permutation(masked(blob.as_py(), rate))
                     frames = own.ids(h.ravel()).reshape(h.shape)
                     frames[h == EDGE] = SIZE
-                    own.train(frames[frames[:, SIDE] < SIZE], 0.1 / (1 + round_))
+                    own.train(frames, 0.1 / (1 + round_), sums)
                     n += len(frames)
             if n:
-                flat = [p.tobytes() for p in own.parameters()]
-                yield pa.RecordBatch.from_pydict({"piece": pa.array(range(4), pa.int32()), "weight": pa.array([float(n)] * 4), "values": pa.array(flat, pa.binary())})
+                flat = np.concatenate([p.ravel() for p in own.parameters()])
+                for k in range(pieces):
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "weight": pa.array([float(n)]), "values": pa.array([flat[k * PIECE : (k + 1) * PIECE].tobytes()], pa.binary())})
 
-        mean = averaged(windows.mapInArrow(replicas, "piece int, weight double, values binary"), 4)
+        mean = averaged(streams.mapInArrow(replicas, "piece int, weight double, values binary"), pieces)
         if mean:
-            shaped = [v.reshape(p.shape) for v, p in zip(mean, network.parameters(), strict=True)]
+            ends = np.cumsum([p.size for p in network.parameters()])[:-1]
+            shaped = [v.reshape(p.shape) for v, p in zip(np.split(np.concatenate(mean), ends), network.parameters(), strict=True)]
             network = Network(network.known, network.others, *shaped)
     return network
 

@@ -112,6 +112,21 @@ def test_contaminated(spark):
     assert tiling.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_every_position_is_masked_in_each_round(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a{k} b c{k}") for k in range(50)] + [(50, "a0 b c0"), (51, None)], "doc_id long, text string")
+    streams = [bytes(r["stream"]) for r in pseudo.gather(docs).where("kind = 1").collect()]
+    frames = np.concatenate([pseudo.masked(x) for x in streams])
+    want = np.concatenate([pseudo.framed(h, pseudo.EDGE)[: len(h)] for h in (pseudo.word_hashes(r["text"]) for r in docs.collect() if r["text"])])
+    assert sorted(map(tuple, frames.tolist())) == sorted(map(tuple, want.tolist())) and len(frames) == 153
+    monkeypatch.setattr(pseudo, "AT_ONCE", 7)  # a long stream's pieces have each position once
+    streams = [bytes(r["stream"]) for r in pseudo.gather(docs.coalesce(1)).where("kind = 1").collect()]
+    assert sorted(map(tuple, np.concatenate([pseudo.masked(x) for x in streams]).tolist())) == sorted(map(tuple, want.tolist()))
+    weights = []
+    monkeypatch.setattr(pseudo, "averaged", lambda parts, pieces: weights.append(parts.where("piece = 0").groupBy().sum("weight").first()[0]) or [])
+    pseudo.train(docs)
+    assert weights == [153.0] * pseudo.ROUNDS
+
+
 def test_counterfactual_term_shrinks_identity_weights():
     rows = [[0]] * 30 + [[1]] * 30 + [[]] * 60  # word 0 only in toxic rows, and so is identity 1
     labels = [1] * 60 + [0] * 60
