@@ -15,7 +15,6 @@ mean, of fixed size, reaches the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from . import common
 from .words import Bounded
 
 #: Words on each side, width, classes and words of a class, words that have an id of their own.
-SIDE, WIDTH, CLASSES, EACH, KNOWN = 2, 24, 32, 32, 768
+SIDE, WIDTH, CLASSES, EACH, KNOWN = 2, 24, 128, 128, 16_128
 SIZE, ROUNDS, BATCH = CLASSES * EACH, 2, 512
 TABLE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 #: First value of the sums of squared gradients.
@@ -38,6 +37,9 @@ INIT = 1e-6
 AT_ONCE = 65_536
 #: Values of a replica's parameters in one row.
 PIECE = 65_536
+#: Cells that count the words without an id of their own (a power of two, as is the
+#: number of shared ids), the cells of one piece, and the count of what was never seen.
+CELLS, CELL_PIECE, UNSEEN = 1 << 20, 1 << 12, 0.01
 _hash = Bounded(xxhash.xxh32_intdigest, 1_000_000)
 
 
@@ -88,8 +90,9 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, hash long, count long, stream binary")
 
 
-def masked(stream: bytes, rate: int = 1) -> np.ndarray:
-    """Windows of a stream's words, the masked one in the middle; one in ``rate`` by hash."""
+def masked(stream: bytes, rate: int = 1, ids: np.ndarray | None = None) -> np.ndarray:
+    """Windows of a stream's words, or of their ``ids``, the masked one in the middle;
+    one in ``rate`` by hash."""
     h = np.frombuffer(stream, np.uint32)
     frames = np.lib.stride_tricks.sliding_window_view(h, 2 * SIDE + 1)
     kept = frames[:, SIDE] != EDGE
@@ -97,23 +100,24 @@ def masked(stream: bytes, rate: int = 1) -> np.ndarray:
         with np.errstate(over="ignore"):
             draw = ((np.arange(len(frames), dtype=np.uint64) + frames[:, SIDE]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         kept &= draw % np.uint64(rate) == 0
-    return frames[kept]
+    return (frames if ids is None else np.lib.stride_tricks.sliding_window_view(ids, 2 * SIDE + 1))[kept]
 
 
 @dataclass
 class Network:
     """``known``: hash -> id of the frequent words; other words share the ids above
-    theirs by hash, and each of them takes an equal part of its id's probability."""
+    theirs by hash, and each of them takes the part of its id's probability that its
+    count has of the id's; words that also share a cell are counted together."""
 
     known: dict[int, int]
-    others: float  # words that share an id, on average
+    parts: np.ndarray  # CELLS, logarithms
     context: np.ndarray  # 2 * SIDE, SIZE + 1, WIDTH
     bias: np.ndarray  # WIDTH
     classes: np.ndarray  # WIDTH + 1, CLASSES
     words: np.ndarray  # CLASSES, WIDTH + 1, EACH
 
     @staticmethod
-    def fresh(known: dict[int, int], distinct: int, counts: np.ndarray) -> Network:
+    def fresh(known: dict[int, int], parts: np.ndarray, counts: np.ndarray) -> Network:
         """Small random embeddings; output biases at the words' shares."""
         rng = np.random.default_rng(7)
         share = np.log((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32).reshape(CLASSES, EACH)
@@ -122,7 +126,7 @@ class Network:
         classes[:-1], classes[-1] = rng.normal(0, 0.1, (WIDTH, CLASSES)), top
         words[:, :-1], words[:, -1] = rng.normal(0, 0.1, (CLASSES, WIDTH, EACH)), share - top[:, None]
         context = rng.normal(0, 0.1, (2 * SIDE, SIZE + 1, WIDTH)).astype(np.float32)
-        return Network(known, max(1.0, (distinct - len(known)) / (SIZE - KNOWN)), context, np.zeros(WIDTH, np.float32), classes, words)
+        return Network(known, parts, context, np.zeros(WIDTH, np.float32), classes, words)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of hashes: the word's own, or a shared one; ``SIZE`` beyond the ends."""
@@ -151,7 +155,11 @@ class Network:
             mine = order[edges[k] : edges[k + 1]]
             if len(mine):
                 out[mine] += picked(h[mine] @ self.words[k], w[mine])
-        return out - (target >= KNOWN) * math.log(self.others)
+        return out
+
+    def shared(self, hashes: np.ndarray, ids: np.ndarray) -> float:
+        """Sum of the logarithms of words' parts of the ids that they share."""
+        return float(self.parts[hashes[ids >= KNOWN] & np.uint32(CELLS - 1)].sum(dtype=np.float64))
 
     def parameters(self) -> list[np.ndarray]:
         return [self.context, self.bias, self.classes, self.words]
@@ -182,14 +190,17 @@ class Network:
             for x, (q, i, j) in enumerate(runs):
                 np.matmul(pw[i:j], self.words[q].T, out=back[i:j])
                 np.matmul(h[i:j].T, pw[i:j], out=g_words[x])
-            g_words *= m
             gz = (gh + back)[:, :-1] * (1 - h[:, :-1] ** 2) * m
             for p, s, g in ((self.bias, sums[1], gz.sum(0)), (self.classes, sums[2], g_classes)):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
-            now = sums[3][met] + g_words * g_words
-            sums[3][met] = now
-            self.words[met] -= rate * g_words / np.sqrt(now)
+            for x, (q, _, _) in enumerate(runs):  # a class at a time stays in the cache
+                g, s = g_words[x], sums[3][q]
+                g *= m
+                s += g * g
+                g /= np.sqrt(s)
+                g *= rate
+                self.words[q] -= g
             keys = (around + at).ravel()
             order = np.argsort(keys)
             keys = keys[order]
@@ -203,12 +214,13 @@ class Network:
         return [np.full_like(p, INIT) for p in self.parameters()]
 
     def copy(self) -> Network:
-        return Network(self.known, self.others, *(p.copy() for p in self.parameters()))
+        return Network(self.known, self.parts, *(p.copy() for p in self.parameters()))
 
     def score(self, text: str) -> tuple[int, float]:
         """Number of words and the sum of their conditional log-probabilities."""
-        ids = self.ids(word_hashes(text))
-        total = 0.0
+        hashes = word_hashes(text)
+        ids = self.ids(hashes)
+        total = self.shared(hashes, ids)
         frames = framed(ids, np.int32(SIZE))[: len(ids)]
         for k in range(0, len(ids), AT_ONCE):
             part = frames[k : k + AT_ONCE]
@@ -226,15 +238,16 @@ class Network:
                 logs = self.log_probabilities(np.delete(frames, SIDE, axis=1), frames[:, SIDE])
                 starts = np.cumsum([0] + [len(f) for _, f in held[:-1]])
                 for (k, _), s in zip(held, np.add.reduceat(logs.astype(np.float64), starts).tolist(), strict=True):
-                    sums[k] = s
+                    sums[k] += s
             held, waiting = [], 0
 
         for k, text in enumerate(texts):
             if len(text) > 4 * AT_ONCE:
                 counts[k], sums[k] = self.score(text)
                 continue
-            ids = self.ids(word_hashes(text))
-            counts[k] = len(ids)
+            hashes = word_hashes(text)
+            ids = self.ids(hashes)
+            counts[k], sums[k] = len(ids), self.shared(hashes, ids)
             if len(ids):
                 held.append((k, framed(ids, np.int32(SIZE))))
                 waiting += len(ids)
@@ -277,31 +290,79 @@ def averaged(parts: DataFrame, pieces: int) -> list[np.ndarray]:
     return [found[k] for k in range(pieces)] if found else []
 
 
+def frequent(counts: DataFrame) -> list:
+    """The ``KNOWN`` most frequent words; only those of the counts that decide are ordered."""
+    level = F.floor(F.log("n") * 64)
+    found, low = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["level"]):
+        found, low = found + r["c"], r["level"]
+        if found >= KNOWN:
+            break
+    return counts.where(level >= low).orderBy(F.desc("n"), "hash").limit(KNOWN).collect()
+
+
+def cells(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and words of each cell, added as they stream by, piece by piece."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        out = lambda: pa.RecordBatch.from_pydict({"piece": pa.array([now], pa.int32()), "values": pa.array([total.tobytes()], pa.binary())})
+        for b in batches:
+            pieces, place, n = (b.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.r_[True, pieces[1:] != pieces[:-1]]) if len(pieces) else []
+            for i, j in zip(starts, [*starts[1:], len(pieces)], strict=True):
+                if pieces[i] != now:
+                    if now is not None:
+                        yield out()
+                    now, total = int(pieces[i]), np.zeros((2, CELL_PIECE))
+                total[0] += np.bincount(place[i:j], n[i:j], CELL_PIECE)
+                total[1] += np.bincount(place[i:j], minlength=CELL_PIECE)
+        if now is not None:
+            yield out()
+
+    cell = F.col("hash").bitwiseAND(CELLS - 1)
+    rows = counts.select(F.floor(cell / CELL_PIECE).cast("int").alias("piece"), (cell % CELL_PIECE).cast("int").alias("place"), "n")
+    n, words = np.zeros(CELLS), np.zeros(CELLS)
+    for r in rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, values binary").collect():
+        at = slice(r["piece"] * CELL_PIECE, (r["piece"] + 1) * CELL_PIECE)
+        n[at], words[at] = np.frombuffer(r["values"]).reshape(2, CELL_PIECE)
+    return n, words
+
+
+def parts_of(n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Logarithm of the part that a word of each cell has of its shared id."""
+    own = (n + UNSEEN).reshape(-1, SIZE - KNOWN)
+    return (np.log(own / own.sum(0)).ravel() - np.log(np.maximum(words, 1))).astype(np.float32)
+
+
 def train(docs: DataFrame, rate: int = 1, rounds: int = ROUNDS) -> Network:
     """Learn from every position of every document, or from one in ``rate`` of them; an
     empty or wordless corpus gives an untrained network."""
     spark = docs.sparkSession
     seen = common.stored(gather(docs), "gathered")
     counts = common.cut(seen.where("kind = 0").groupBy("hash").agg(F.sum("count").alias("n")))
-    top = counts.where(F.col("hash") != 0).orderBy(F.desc("n"), "hash").limit(KNOWN).collect()
-    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = frequent(counts.where(F.col("hash") != 0))
+    n, words = cells(counts)
+    for r in top:
+        n[r["hash"] & (CELLS - 1)] -= r["n"]
+        words[r["hash"] & (CELLS - 1)] -= 1
     shares = np.zeros(SIZE)
     shares[: len(top)] = [r["n"] for r in top]
-    shares[KNOWN:] = (total - shares.sum()) / (SIZE - KNOWN)
-    network = Network.fresh({int(r["hash"]): k for k, r in enumerate(top)}, distinct, shares)
+    shares[KNOWN:] = n.reshape(-1, SIZE - KNOWN).sum(0)
+    network = Network.fresh({int(r["hash"]): k for k, r in enumerate(top)}, parts_of(n, words), shares)
     streams = seen.where("kind = 1").select("stream")
     pieces = -(-sum(p.size for p in network.parameters()) // PIECE)
     for round_ in range(rounds):
-        given = spark.sparkContext.broadcast(network)  # under a megabyte, whatever the corpus
+        given = spark.sparkContext.broadcast(network)  # 12 MB, whatever the corpus
 
         def replicas(batches: Iterator[pa.RecordBatch], given=given, round_=round_) -> Iterator[pa.RecordBatch]:
             own, n, rng = given.value.copy(), 0, np.random.default_rng(11)
             sums = own.fresh_sums()
             for b in batches:
                 for blob in b.column(0):
-                    h = rng.permutation(masked(blob.as_py(), rate))
-                    frames = own.ids(h.ravel()).reshape(h.shape)
-                    frames[h == EDGE] = SIZE
+                    stream = blob.as_py()
+                    h = np.frombuffer(stream, np.uint32)
+                    frames = rng.permutation(masked(stream, rate, np.where(h == EDGE, np.int32(SIZE), own.ids(h))))
                     own.train(frames, 0.1 / (1 + round_), sums)
                     n += len(frames)
             if n:
@@ -313,7 +374,7 @@ def train(docs: DataFrame, rate: int = 1, rounds: int = ROUNDS) -> Network:
         if mean:
             ends = np.cumsum([p.size for p in network.parameters()])[:-1]
             shaped = [v.reshape(p.shape) for v, p in zip(np.split(np.concatenate(mean), ends), network.parameters(), strict=True)]
-            network = Network(network.known, network.others, *shaped)
+            network = Network(network.known, network.parts, *shaped)
     return network
 
 

@@ -127,6 +127,20 @@ def test_every_position_is_masked_in_each_round(spark, monkeypatch):
     assert weights == [153.0] * pseudo.ROUNDS
 
 
+def test_words_beyond_the_most_frequent_keep_their_counts(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, 3000, 7))) for k in range(7)], "doc_id long, text string")
+    network = pseudo.train(docs, rounds=0)
+    hashes = pseudo.word_hashes(" ".join(f"w{j}" for j in range(3000)))
+    assert len(set(network.ids(hashes).tolist())) == 3000  # each is predicted as itself
+    counts = spark.createDataFrame([(5, 300), (5 + pseudo.CELLS, 100), (5 + 256, 2)], "hash long, n long")
+    n, words = pseudo.cells(counts)
+    assert (n[5], words[5], n[261], words[261], n.sum(), words.sum()) == (400, 2, 2, 1, 402, 3)
+    parts = np.exp(pseudo.parts_of(n, words).astype(float))
+    assert parts[5] > 90 * parts[261] > 9000 * parts[5 + 512]  # seen often, seldom, never; all of one id
+    whole = (parts * np.maximum(words, 1)).reshape(-1, pseudo.SIZE - pseudo.KNOWN).sum(0)
+    assert np.allclose(whole, 1, atol=1e-4)
+
+
 def test_counterfactual_term_shrinks_identity_weights():
     rows = [[0]] * 30 + [[1]] * 30 + [[]] * 60  # word 0 only in toxic rows, and so is identity 1
     labels = [1] * 60 + [0] * 60
