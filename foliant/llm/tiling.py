@@ -83,13 +83,15 @@ def tiles(item: list[int], doc: list[int], least: int = SEED) -> list[tuple[int,
         if longest > 2 * size:
             size = longest
             continue
+        before = len(out)
         for n, k, d in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
             if not any(item_marked[k : k + n]) and not any(doc_marked[d : d + n]):
                 item_marked[k : k + n] = doc_marked[d : d + n] = [True] * n
                 out.append((k, d, n))
-        if size == least or all(item_marked):
+        if all(item_marked) or (size == least and len(out) == before):
             return out
-        size = max(least, size // 2)
+        if len(out) == before:  # else what marked tiles leave of longer matches is still to find
+            size = max(least, size // 2)
 
 
 class Items:

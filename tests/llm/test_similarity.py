@@ -95,6 +95,12 @@ def test_tiles_cover_as_much_as_brute_force():
         assert abs(sum(n for _, _, n in found) - tiles_by_hand(item, doc, 3)) <= 2  # ties of equal length
 
 
+def test_tiles_take_what_an_overlapping_match_leaves():
+    item = list(range(20))
+    doc = [*range(8), 99, *range(5, 14)]  # w5..w13, then w0..w4 of the match that it overlaps
+    assert sorted((k, n) for k, _, n in tiling.tiles(item, doc, 5)) == [(0, 5), (5, 9)]
+
+
 def test_contaminated(spark):
     item = [f"q{k}" for k in range(40)]
     rows = [
