@@ -16,7 +16,8 @@ all pairs: first each node meets the most central node of its blocks, then the
 links found join nodes into components, and only blocks (split by the lengths
 that their members' positions allow) that still hold several components give
 pairs of nodes of different components.  Two nodes of one component need no
-further test, so the components are exactly those of the full join.
+further test, so the components are exactly those of the full join.  Where the
+links themselves are asked for, blocks do give all pairs and each is verified.
 """
 
 from __future__ import annotations
@@ -263,49 +264,42 @@ def _involved_sets(rows: DataFrame, members: DataFrame, shared: DataFrame, words
     return common.stored(_sets(rows.join(chosen, "doc_id").select("node", "text"), words, per_cent, sketch), "sets")
 
 
-def classes(docs: DataFrame, words: int = 4, per_cent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _cells(rows: DataFrame, per_cent: int) -> DataFrame:
+    """``rows`` (token, node, pos, n) once for each cell (token, u, v) of lengths, in steps
+    of 2 %, that a partner may have: from t n up to what the position leaves."""
+    step = math.log(1.02)
+    bucket = lambda n: F.floor(F.log(n) / step).cast("int")
+    low = F.ceil(F.col("n") * per_cent / 100 - 1e-9)
+    high = F.floor((F.col("n") - F.col("pos")) * (100 + per_cent) / per_cent - F.col("n") + 1e-9)
+    now = rows.withColumns({"own": bucket(F.col("n")), "_low": low, "_high": high}).where("_high >= _low and _low > 0")
+    now = now.withColumn("other", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
+    return now.withColumns({"u": F.least("own", "other"), "v": F.greatest("own", "other")})
 
-    Two documents link when 100 * |A and B| >= ``per_cent`` * |A or B|, A and B
-    their sets of ``words``-word shingles; component_id is the smallest doc_id
-    that links reach.  Null and wordless texts have no shingles and link with
-    nothing; rows that repeat a doc_id belong to their texts' components.  Null
-    doc_ids take part but are never a component's smallest unless alone.  Other
-    columns are ignored; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = common.stored(_nodes_and_counts(rows, words, per_cent), "nodes")
-    sketch = spark.sparkContext.broadcast(_summed(both.where("kind = 1")))
-    members = both.where("kind = 0").select("doc_id", "node", "n")
 
-    need = lambda n, m: F.ceil((n + m) * per_cent / (100 + per_cent) - 1e-9)
-    # What two shared positions and lengths allow: |A and B| <= min(n - pos) of both sides.
-    fits = lambda n, p, m, q: F.least(n - p, m - q) >= need(n, m)
-    shared = _blocks(rows, words, per_cent, sketch, fits)
-    common.tidy(spark)
+def _every_link(shared: DataFrame, sets: DataFrame, per_cent: int, fits) -> DataFrame:
+    """All links (a, b), a < b, of nodes, those of one component too."""
+    cells = ["token", "u", "v"]
+    now = _cells(shared.select("token", "node", "pos", "n"), per_cent)
+    one = now.where("own = u").select(*cells, F.col("node").alias("a"), F.col("pos").alias("pa"), F.col("n").alias("na"))
+    two = now.where("own = v").select(*cells, F.col("node").alias("b"), F.col("pos").alias("pb"), F.col("n").alias("nb"))
+    met = one.join(two, cells).where((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
+    return _links(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, per_cent)
+
+
+def _spanning(shared: DataFrame, sets: DataFrame, per_cent: int, fits) -> DataFrame:
+    """(node, comp) by the links that it takes to know the components."""
     head = F.col("head")
     stars = shared.where((F.col("node") != head["node"]) & fits(F.col("n"), F.col("pos"), head["n"], head["pos"]))
     pairs = stars.select(F.least("node", head["node"]).alias("a"), F.greatest("node", head["node"]).alias("b")).distinct()
-
-    sets = _involved_sets(rows, members, shared, words, per_cent, sketch)
-    common.tidy(spark)
     labels = components(_links(pairs, sets, per_cent))
     del stars, pairs
     blocks = shared.drop("head")
-    step = math.log(1.02)
-    bucket = lambda n: F.floor(F.log(n) / step).cast("int")
     for round_ in range(1, STARS + 1):
-        common.tidy(spark)
+        common.tidy(shared.sparkSession)
         now = blocks.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed_tokens = now.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         now = now.join(mixed_tokens, "token")
-        # Lengths that a partner may have, in steps of 2 %: from t n up to what the position leaves.
-        low = F.ceil(F.col("n") * per_cent / 100 - 1e-9)
-        high = F.floor((F.col("n") - F.col("pos")) * (100 + per_cent) / per_cent - F.col("n") + 1e-9)
-        now = now.withColumns({"own": bucket(F.col("n")), "_low": low, "_high": high}).where("_high >= _low and _low > 0")
-        now = now.withColumn("other", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
-        now = now.select("token", "node", "pos", "n", "comp", "own", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"))
+        now = _cells(now, per_cent).select("token", "node", "pos", "n", "comp", "own", "u", "v")
         cells = ["token", "u", "v"]
         open_cells = now.groupBy(*cells).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("own").alias("p"), F.max("own").alias("q"), F.min(F.struct("pos", "node", "n", "comp", "own")).alias("head")).where("x <> y and p = u and q = v")
         now = common.cut(now.join(open_cells.select(*cells, "head"), cells))
@@ -322,6 +316,37 @@ def classes(docs: DataFrame, words: int = 4, per_cent: int = 85) -> DataFrame:
         more = _links(found.select(ends[0].alias("a"), ends[1].alias("b")).distinct(), sets, per_cent)
         if not more.isEmpty():
             labels = components(more, labels)
+    return labels
+
+
+def classes(docs: DataFrame, words: int = 4, per_cent: int = 85, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    With ``links`` also n_links, the number of other rows that the row links with;
+    then every pair that passes the filters is verified.
+
+    Two documents link when 100 * |A and B| >= ``per_cent`` * |A or B|, A and B
+    their sets of ``words``-word shingles; component_id is the smallest doc_id
+    that links reach.  Null and wordless texts have no shingles and link with
+    nothing; rows that repeat a doc_id belong to their texts' components.  Null
+    doc_ids take part but are never a component's smallest unless alone.  Other
+    columns are ignored; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    both = common.stored(_nodes_and_counts(rows, words, per_cent), "nodes")
+    sketch = spark.sparkContext.broadcast(_summed(both.where("kind = 1")))
+    members = both.where("kind = 0").select("doc_id", "node", "n")
+
+    need = lambda n, m: F.ceil((n + m) * per_cent / (100 + per_cent) - 1e-9)
+    # What two shared positions and lengths allow: |A and B| <= min(n - pos) of both sides.
+    fits = lambda n, p, m, q: F.least(n - p, m - q) >= need(n, m)
+    shared = _blocks(rows, words, per_cent, sketch, fits)
+    common.tidy(spark)
+    sets = _involved_sets(rows, members, shared, words, per_cent, sketch)
+    common.tidy(spark)
+    found = _every_link(shared, sets, per_cent, fits) if links else None
+    labels = components(found) if links else _spanning(shared, sets, per_cent, fits)
 
     # Copies are one row of their node until the end.
     firsts = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -330,11 +355,20 @@ def classes(docs: DataFrame, words: int = 4, per_cent: int = 85) -> DataFrame:
     of_node = firsts.join(ids, "comp").select("node", "component_id")
     result = members.where("n > 0").join(of_node, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = members.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return result.unionByName(alone)
+    result = result.unionByName(alone)
+    if not links:
+        return result
+    # Copies count as often as they occur; a row does not link with itself.
+    copies = members.where("n > 0").groupBy("node").agg(F.count("*").alias("c"))
+    ends = found.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    near = ends.join(copies.select(F.col("node").alias("to"), "c"), "to").groupBy("node").agg(F.sum("c").alias("near"))
+    of_node = of_node.join(copies, "node").join(near, "node", "left").withColumn("n_links", F.coalesce("near", F.lit(0)) + F.col("c") - 1)
+    result = members.where("n > 0").join(of_node, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    return result.unionByName(alone.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.table(spark, sf_dir, "documents"))
+    return classes(common.table(spark, sf_dir, "documents"), links=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_jaccard_join": op5_jaccard_join}

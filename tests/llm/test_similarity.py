@@ -64,6 +64,19 @@ def test_jaccard_chains(spark):
     assert sorted(tuple(r) for r in jaccard.classes(df, 4, 85).collect()) == components(rows, 4, 85)
 
 
+def test_links_within_a_component_are_counted(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[:k % 9] + [f"x{k % 9}"] * (k % 2) + base[k % 9 :])) for k in range(14)] + [(20, None), (21, "alone in here")]
+    rows += [(30 + k, " ".join(f"y{rng.randrange(300)}" for _ in range(50))) for k in range(20)]
+    sets = [{tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    want = {rows[i][0]: sum(1 for j in range(len(rows)) if i != j and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in range(len(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.classes(df, 4, 85, links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want and len(got) == len(rows) and want[0] > 4
+    assert sorted(tuple(r)[:3] for r in got) == sorted(tuple(r) for r in jaccard.classes(df, 4, 85).collect())
+
+
 def tiles_by_hand(item, doc, least):
     """Greedy string tiling by comparing every place with every place."""
     a, b, out = [False] * len(item), [False] * len(doc), []
