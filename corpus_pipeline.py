@@ -29,13 +29,8 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies.
-
-    Documents without words are groups of their own; rows that repeat a kept
-    doc_id are one document.
-    """
-    kept = jaccard.classes(docs, WORDS, PER_CENT).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near copies; see ``jaccard.one_of_each``."""
+    return jaccard.one_of_each(docs, WORDS, PER_CENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a folder is made and set.
+    Where the setting is absent on one machine (tests) a folder is made and set; on a
+    cluster it has to be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -79,6 +82,16 @@ def discard(df: DataFrame) -> None:
     drop_folder(df.sparkSession, df.stored_in)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8_bytes(text: str | Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
