@@ -1,16 +1,18 @@
 """Op 10: document scores by masked pseudo-likelihood.
 
 A network sees the words on both sides of a masked word (position-specific
-embeddings, summed and squashed) and predicts it by a two-level softmax: a class
-of words, then the word in its class.  A document's score is the sum over its
-words of their conditional log-probabilities.
+embeddings, summed and squashed) and predicts it by a three-level softmax: a
+group of words, a smaller group in it, then the word.  A document's score is the
+sum over its words of their conditional log-probabilities.
 
 The corpus gives two things, in one pass over every document: counts of all its
-words, from which the vocabulary comes, and the texts as streams of word hashes.
-Every position of every document is masked once in each round: each task trains a
-replica in numpy on its share of the streams, and the replicas' mean starts the
-next round; replicas are added as they stream by, piece by piece, and only their
-mean, of fixed size, reaches the driver.
+words, from which the vocabulary comes, and its texts as streams of word hashes.
+Every position of every document is masked once while the network is trained.
+Streams are dealt to replicas by their hashes, a number that follows from the
+corpus alone; each replica is trained in numpy on its streams in the order of
+their hashes.  A round trains on its share of the replicas and their mean, added
+up as a tree, starts the next round, so that the scores do not depend on how the
+input is partitioned.
 """
 
 from __future__ import annotations
@@ -27,20 +29,30 @@ from pyspark.sql import functions as F
 from . import common
 from .words import Bounded
 
-#: Words on each side, width, classes and words of a class, words that have an id of their own.
-SIDE, WIDTH, CLASSES, EACH, KNOWN = 2, 24, 128, 128, 16_128
-SIZE, ROUNDS, BATCH = CLASSES * EACH, 2, 512
+#: Words on each side, width of the network, words that have an id of their own.
+SIDE, WIDTH, KNOWN = 2, 16, 16_128
+#: Outcomes of the three levels, and ids.
+LEVELS = (32, 32, 16)
+SIZE, LAST, ROUNDS = 32 * 32 * 16, 32 * 32, 2
+#: Positions of a step: an eighth of what was seen before, between these.
+LEAST_STEP, MOST_STEP = 512, 32_768
+#: Positions that a replica gets on average, and that are shuffled among themselves.
+REPLICA, SHUFFLED = 4_000_000, 1 << 18
 TABLE = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 #: First value of the sums of squared gradients.
 INIT = 1e-6
-#: Tokens that are scored at once, which bounds the memory of a long text.
+#: Words of one piece of a long text, which is one row.
 AT_ONCE = 65_536
-#: Values of a replica's parameters in one row.
-PIECE = 65_536
+#: Positions that are scored at once.
+SCORED = 32_768
+#: Values of a replica's parameters in one row, and rows that are added in one go.
+PIECE, ADDED = 65_536, 256
 #: Cells that count the words without an id of their own (a power of two, as is the
 #: number of shared ids), the cells of one piece, and the count of what was never seen.
 CELLS, CELL_PIECE, UNSEEN = 1 << 20, 1 << 12, 0.01
-_hash = Bounded(xxhash.xxh32_intdigest, 1_000_000)
+#: Words that a task counts before it passes them on.
+COUNTED = 1_000_000
+_hash = Bounded(xxhash.xxh32_intdigest, 96_000_000)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -62,45 +74,73 @@ def framed(ids: np.ndarray, edge: int) -> np.ndarray:
 EDGE = np.uint32(0)
 
 
+class Counts:
+    """Counts of words, merged as they come; ``full`` when it holds many."""
+
+    def __init__(self):
+        self.parts, self.waiting = [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.parts.append(np.unique(hashes, return_counts=True))
+        self.waiting += len(self.parts[-1][0])
+        if self.waiting > 4 * COUNTED:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        words, place = np.unique(np.concatenate([np.zeros(0, np.uint32), *(w for w, _ in self.parts)]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([np.zeros(0), *(c for _, c in self.parts)]), len(words)).astype(np.int64)
+        self.parts, self.waiting = [(words, counts)], len(words)
+        return words, counts
+
+    def full(self) -> bool:
+        return self.waiting > COUNTED and len(self.merge()[0]) > COUNTED
+
+
 def gather(docs: DataFrame) -> DataFrame:
-    """(kind 0: hash, count of a word in a batch; kind 1: stream of word hashes).
+    """(kind 0: hash, count of a word in a task; kind 1: body, k, stream of word hashes).
 
-    ``SIDE`` edges stand before, between and after the texts of a stream; a long
-    stream is cut into pieces that overlap by ``SIDE`` places on both sides.
+    ``SIDE`` edges stand before and after a text; a long one is cut into pieces,
+    numbered by ``k``, that overlap by ``SIDE`` places on both sides.
     """
     gap = np.full(SIDE, EDGE)
+    names = ["kind", "hash", "count", "body", "k", "stream"]
+
+    def counted(counts: Counts) -> pa.RecordBatch:
+        words, n = counts.merge()
+        none = pa.nulls(len(words), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(words.astype(np.int64)), pa.array(n), none, none.cast(pa.int32()), none.cast(pa.string()).cast(pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
         for b in batches:
-            met = [gap]
-            for text in b.column(0).to_pylist():
+            bodies, places, parts, met = [], [], [], []
+            for body, text in common.rows(b):
                 h = word_hashes(text)
                 if len(h):
-                    met += [h, gap]
-            flat = np.concatenate(met)
-            words, counts = np.unique(flat[flat != EDGE], return_counts=True)
-            n = len(words)
-            if not n:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(words.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(n, pa.binary())], ["kind", "hash", "count", "stream"])
-            parts = [flat[k : k + AT_ONCE + 2 * SIDE].tobytes() for k in range(0, len(flat) - 2 * SIDE, AT_ONCE)]
+                    met.append(h)
+                    wide = np.concatenate([gap, h, gap])
+                    pieces = [wide[k : k + AT_ONCE + 2 * SIDE].tobytes() for k in range(0, len(h), AT_ONCE)]
+                    bodies += [body] * len(pieces)
+                    places += range(len(pieces))
+                    parts += pieces
             m = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.binary())], ["kind", "hash", "count", "stream"])
+            if m:
+                counts.add(np.concatenate(met))
+                none = pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(bodies, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.binary())], names)
+            if counts.full():
+                yield counted(counts)
+                counts = Counts()
+        yield counted(counts)
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind int, hash long, count long, stream binary")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64(text).alias("body"), text.alias("text")).mapInArrow(run, "kind int, hash long, count long, body long, k int, stream binary")
 
 
-def masked(stream: bytes, rate: int = 1, ids: np.ndarray | None = None) -> np.ndarray:
-    """Windows of a stream's words, or of their ``ids``, the masked one in the middle;
-    one in ``rate`` by hash."""
-    h = np.frombuffer(stream, np.uint32)
-    frames = np.lib.stride_tricks.sliding_window_view(h, 2 * SIDE + 1)
-    kept = frames[:, SIDE] != EDGE
-    if rate > 1:
-        with np.errstate(over="ignore"):
-            draw = ((np.arange(len(frames), dtype=np.uint64) + frames[:, SIDE]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        kept &= draw % np.uint64(rate) == 0
-    return (frames if ids is None else np.lib.stride_tricks.sliding_window_view(ids, 2 * SIDE + 1))[kept]
+def frames_of(stream: np.ndarray, edge: int) -> np.ndarray:
+    """Windows of a stream's words, the masked one in the middle."""
+    frames = np.lib.stride_tricks.sliding_window_view(stream, 2 * SIDE + 1)
+    return frames[frames[:, SIDE] != edge]
 
 
 @dataclass
@@ -111,25 +151,29 @@ class Network:
 
     known: dict[int, int]
     parts: np.ndarray  # CELLS, logarithms
-    context: np.ndarray  # 2 * SIDE, SIZE + 1, WIDTH
+    context: np.ndarray  # 2 * SIDE * (SIZE + 1), WIDTH
     bias: np.ndarray  # WIDTH
-    classes: np.ndarray  # WIDTH + 1, CLASSES
-    words: np.ndarray  # CLASSES, WIDTH + 1, EACH
+    top: np.ndarray  # 1, WIDTH + 1, 32
+    middle: np.ndarray  # 32, WIDTH + 1, 32
+    low: np.ndarray  # LAST, WIDTH + 1, 16
 
     @staticmethod
     def fresh(known: dict[int, int], parts: np.ndarray, counts: np.ndarray) -> Network:
         """Small random embeddings; output biases at the words' shares."""
         rng = np.random.default_rng(7)
-        share = np.log((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32).reshape(CLASSES, EACH)
-        top = np.log(np.exp(share).sum(1))
-        classes, words = np.zeros((WIDTH + 1, CLASSES), np.float32), np.zeros((CLASSES, WIDTH + 1, EACH), np.float32)
-        classes[:-1], classes[-1] = rng.normal(0, 0.1, (WIDTH, CLASSES)), top
-        words[:, :-1], words[:, -1] = rng.normal(0, 0.1, (CLASSES, WIDTH, EACH)), share - top[:, None]
-        context = rng.normal(0, 0.1, (2 * SIDE, SIZE + 1, WIDTH)).astype(np.float32)
-        return Network(known, parts, context, np.zeros(WIDTH, np.float32), classes, words)
+        share = (counts + 0.5) / (counts + 0.5).sum()
+        groups = [share.reshape(-1, size).sum(1) for size in (SIZE // LEVELS[0], LEVELS[2], 1)]
+        levels = []
+        for size, own, above in zip(LEVELS, groups, (np.ones(1), *groups[:-1]), strict=True):
+            w = np.empty((len(own) // size, WIDTH + 1, size), np.float32)
+            w[:, :-1] = rng.normal(0, 0.1, (len(w), WIDTH, size))
+            w[:, -1] = np.log(own.reshape(-1, size) / above.reshape(-1)[:, None])
+            levels.append(w)
+        context = rng.normal(0, 0.1, (2 * SIDE * (SIZE + 1), WIDTH)).astype(np.float32)
+        return Network(known, parts, context, np.zeros(WIDTH, np.float32), *levels)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of hashes: the word's own, or a shared one; ``SIZE`` beyond the ends."""
+        """Ids of hashes: the word's own, or a shared one; ``SIZE`` for ``EDGE``."""
         if not hasattr(self, "_sorted"):
             keys = np.array(sorted(self.known), np.uint32)
             self._sorted = keys, np.array([self.known[int(k)] for k in keys], np.int32)
@@ -138,23 +182,36 @@ class Network:
         if len(keys):
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
             out = np.where(keys[at] == hashes, own[at], out)
-        return out
+        return np.where(hashes == EDGE, np.int32(SIZE), out)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        z = self.bias + sum(self.context[j].take(around[:, j], axis=0) for j in range(2 * SIDE))
+        """``around``: rows of the context table, a column for each side position."""
+        z = self.bias + self.context.take(around[:, 0], axis=0)
+        for j in range(1, 2 * SIDE):
+            z += self.context.take(around[:, j], axis=0)
         h = np.ones((len(around), WIDTH + 1), np.float32)
-        h[:, :-1] = np.tanh(z)
+        np.tanh(z, out=h[:, :-1])
         return h
 
-    def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h, (c, w) = self.hidden(around), np.divmod(target, EACH)
-        out = picked(h @ self.classes, c)
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            mine = order[edges[k] : edges[k + 1]]
-            if len(mine):
-                out[mine] += picked(h[mine] @ self.words[k], w[mine])
+    def levels(self, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(weights, group, outcome) of each level for words in ascending order."""
+        low, last = np.divmod(target, LEVELS[2])
+        first, second = np.divmod(low, LEVELS[1])
+        return [(self.top, np.zeros_like(first), first), (self.middle, first, second), (self.low, low, last)]
+
+    def log_probabilities(self, frames: np.ndarray) -> np.ndarray:
+        """Of the middle word of each row, given the others."""
+        out = np.empty(len(frames), np.float32)
+        for k in range(0, len(frames), SCORED):
+            part = frames[k : k + SCORED]
+            order = in_order(part[:, SIDE])
+            part = part[order]
+            h, total = self.hidden(part[:, SIDES] + OFFSETS), np.zeros(len(part), np.float32)
+            for weights, group, outcome in self.levels(part[:, SIDE]):
+                z = scored(h, weights, runs_of(group))
+                top = z.max(1, keepdims=True) if far(z) else np.float32(0)
+                total += z[np.arange(len(z)), outcome] - top.ravel() - np.log(row_sums(np.exp(z - top)))
+            out[k : k + SCORED][order] = total
         return out
 
     def shared(self, hashes: np.ndarray, ids: np.ndarray) -> float:
@@ -162,53 +219,43 @@ class Network:
         return float(self.parts[hashes[ids >= KNOWN] & np.uint32(CELLS - 1)].sum(dtype=np.float64))
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.context, self.bias, self.classes, self.words]
-
-    def train(self, frames: np.ndarray, rate: float = 0.1, sums: list[np.ndarray] | None = None) -> None:
-        """One pass of AdaGrad over rows of ids, the masked word in the middle; ``sums``
-        of squared gradients go on from call to call."""
-        sums = self.fresh_sums() if sums is None else sums
-        sides = [j for j in range(2 * SIDE + 1) if j != SIDE]
-        at = (np.arange(2 * SIDE) * (SIZE + 1)).astype(np.int32)
-        context, context_sums = self.context.reshape(-1, WIDTH), sums[0].reshape(-1, WIDTH)
-        for k in range(0, len(frames), BATCH):
-            part = frames[k : k + BATCH]
-            part = part[np.argsort((part[:, SIDE] // EACH).astype(np.int16), kind="stable")]  # words of a class stand together
-            n, m = len(part), np.float32(1 / len(part))
-            around, every = part[:, sides], np.arange(n)
-            h, (c, w) = self.hidden(around), np.divmod(part[:, SIDE], EACH)
-            pc = softmax(h @ self.classes)
-            pc[every, c] -= 1
-            gh, g_classes = pc @ self.classes.T, h.T @ pc * m
-            starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            met, runs = c[starts], list(zip(c[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
-            pw, back, g_words = np.empty((n, EACH), np.float32), np.empty_like(h), np.empty((len(met), WIDTH + 1, EACH), np.float32)
-            for q, i, j in runs:
-                np.matmul(h[i:j], self.words[q], out=pw[i:j])
-            pw = softmax(pw)
-            pw[every, w] -= 1
+        return [self.context, self.bias, self.top, self.middle, self.low]
+
+    def step(self, part: np.ndarray, rate: float, sums: list[np.ndarray]) -> None:
+        """One step of AdaGrad on rows of ids, the masked word in the middle."""
+        part = part[in_order(part[:, SIDE])]  # words of a group stand together
+        n, m = len(part), np.float32(1 / len(part))
+        around, every = part[:, SIDES] + OFFSETS, np.arange(n)
+        h = self.hidden(around)
+        gh = np.zeros_like(h)
+        for (weights, group, outcome), s in zip(self.levels(part[:, SIDE]), sums[2:], strict=True):
+            runs = runs_of(group)
+            p = scored(h, weights, runs)
+            if far(p):
+                p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p *= m / row_sums(p)[:, None]
+            p[every, outcome] -= m
+            met, g, back = [q for q, _, _ in runs], np.empty((len(runs), *weights.shape[1:]), np.float32), np.empty_like(h)
             for x, (q, i, j) in enumerate(runs):
-                np.matmul(pw[i:j], self.words[q].T, out=back[i:j])
-                np.matmul(h[i:j].T, pw[i:j], out=g_words[x])
-            gz = (gh + back)[:, :-1] * (1 - h[:, :-1] ** 2) * m
-            for p, s, g in ((self.bias, sums[1], gz.sum(0)), (self.classes, sums[2], g_classes)):
-                s += g * g
-                p -= rate * g / np.sqrt(s)
-            for x, (q, _, _) in enumerate(runs):  # a class at a time stays in the cache
-                g, s = g_words[x], sums[3][q]
-                g *= m
-                s += g * g
-                g /= np.sqrt(s)
-                g *= rate
-                self.words[q] -= g
-            keys = (around + at).ravel()
-            order = np.argsort(keys)
-            keys = keys[order]
+                np.matmul(h[i:j].T, p[i:j], out=g[x])
+                np.matmul(p[i:j], weights[q].T, out=back[i:j])
+            gh += back
+            now = s[met] + g * g
+            s[met] = now
+            weights[met] -= rate * g / np.sqrt(now)
+        gz = gh[:, :-1] * (1 - h[:, :-1] ** 2)
+        g = gz.sum(0)
+        sums[1] += g * g
+        self.bias -= rate * g / np.sqrt(sums[1])
+        for j in range(2 * SIDE):
+            order = in_order(part[:, SIDES[j]])
+            keys = around[order, j]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            rows, g = keys[starts], np.add.reduceat(gz.take(order // (2 * SIDE), axis=0), starts)
-            now = context_sums[rows] + g * g
-            context_sums[rows] = now
-            context[rows] -= rate * g / np.sqrt(now)
+            rows, g = keys[starts], np.add.reduceat(gz.take(order, axis=0), starts)
+            now = sums[0][rows] + g * g
+            sums[0][rows] = now
+            self.context[rows] -= rate * g / np.sqrt(now)
 
     def fresh_sums(self) -> list[np.ndarray]:
         return [np.full_like(p, INIT) for p in self.parameters()]
@@ -218,76 +265,126 @@ class Network:
 
     def score(self, text: str) -> tuple[int, float]:
         """Number of words and the sum of their conditional log-probabilities."""
-        hashes = word_hashes(text)
-        ids = self.ids(hashes)
-        total = self.shared(hashes, ids)
-        frames = framed(ids, np.int32(SIZE))[: len(ids)]
-        for k in range(0, len(ids), AT_ONCE):
-            part = frames[k : k + AT_ONCE]
-            total += float(self.log_probabilities(np.delete(part, SIDE, axis=1), part[:, SIDE]).sum(dtype=np.float64))
-        return len(ids), total
+        counts, sums = self.scores([text])
+        return counts[0], sums[0]
 
     def scores(self, texts: list[str]) -> tuple[list[int], list[float]]:
-        """``score`` of many texts, short ones scored together."""
+        """``score`` of many texts, short ones scored together and long ones in parts."""
         counts, sums, held, waiting = [0] * len(texts), [0.0] * len(texts), [], 0
 
         def flush() -> None:
             nonlocal held, waiting
             if held:
-                frames = np.concatenate([f for _, f in held])
-                logs = self.log_probabilities(np.delete(frames, SIDE, axis=1), frames[:, SIDE])
+                logs = self.log_probabilities(np.concatenate([f for _, f in held]))
                 starts = np.cumsum([0] + [len(f) for _, f in held[:-1]])
                 for (k, _), s in zip(held, np.add.reduceat(logs.astype(np.float64), starts).tolist(), strict=True):
                     sums[k] += s
             held, waiting = [], 0
 
         for k, text in enumerate(texts):
-            if len(text) > 4 * AT_ONCE:
-                counts[k], sums[k] = self.score(text)
-                continue
             hashes = word_hashes(text)
             ids = self.ids(hashes)
             counts[k], sums[k] = len(ids), self.shared(hashes, ids)
-            if len(ids):
-                held.append((k, framed(ids, np.int32(SIZE))))
-                waiting += len(ids)
+            frames = framed(ids, np.int32(SIZE)) if len(ids) else ids
+            for at in range(0, len(ids), AT_ONCE):
+                held.append((k, frames[at : at + AT_ONCE]))
+                waiting += len(held[-1][1])
                 if waiting >= AT_ONCE:
                     flush()
         flush()
         return counts, sums
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    far = z.size and max(z.max(), -z.min()) > 60  # else nothing overflows or vanishes
-    e = np.exp(z - z.max(1, keepdims=True) if far else z)
-    return e / (e @ np.ones((z.shape[1], 1), z.dtype))
+SIDES = [j for j in range(2 * SIDE + 1) if j != SIDE]
+#: First row of each side position in the context table.
+OFFSETS = (np.arange(2 * SIDE) * (SIZE + 1)).astype(np.int32)
+
+
+def in_order(ids: np.ndarray) -> np.ndarray:
+    """Places of ids in ascending order; two-byte keys are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16), kind="stable")
+
+
+def runs_of(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, begin, end) of a sorted array."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return list(zip(group[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True))
+
+
+def scored(h: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of each row under its group's weights."""
+    z = np.empty((len(h), weights.shape[2]), np.float32)
+    for q, i, j in runs:
+        np.matmul(h[i:j], weights[q], out=z[i:j])
+    return z
+
+
+def far(z: np.ndarray) -> bool:
+    """Whether exponents might overflow or vanish."""
+    return bool(z.size) and max(z.max(), -z.min()) > 60
+
+
+def row_sums(e: np.ndarray) -> np.ndarray:
+    return (e @ np.ones((e.shape[1], 1), e.dtype)).ravel()
+
 
+class Replica:
+    """A network that is trained on the streams that it is given, in steps that do not
+    depend on how they come."""
 
-def picked(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Log-probability of column ``k`` of each row of logits."""
-    top = z.max(1)
-    return z[np.arange(len(z)), k] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    def __init__(self, network: Network, rate: float):
+        self.network, self.rate, self.sums = network.copy(), rate, network.fresh_sums()
+        self.rng, self.held, self.waiting, self.seen = np.random.default_rng(11), [], 0, 0
 
+    def add(self, frames: np.ndarray) -> None:
+        while len(frames):
+            taken, frames = frames[: SHUFFLED - self.waiting], frames[SHUFFLED - self.waiting :]
+            self.held.append(taken)
+            self.waiting += len(taken)
+            if self.waiting == SHUFFLED:
+                self.flush()
 
-def averaged(parts: DataFrame, pieces: int) -> list[np.ndarray]:
-    """Weighted means of (piece, weight, values) rows, added as they stream by."""
+    def flush(self) -> None:
+        if self.held:
+            frames = self.rng.permutation(np.concatenate(self.held))
+            at = 0
+            while at < len(frames):
+                size = min(MOST_STEP, max(LEAST_STEP, self.seen // 8))
+                part = frames[at : at + size]
+                self.network.step(part, self.rate, self.sums)
+                at, self.seen = at + len(part), self.seen + len(part)
+        self.held, self.waiting = [], 0
+
+
+def summed(parts: DataFrame, group: str | None) -> DataFrame:
+    """Sums of (piece, replica, weight, values) rows by piece and ``group``, in the order of
+    the replicas, added as they stream by."""
+    names = ["piece", "replica", "weight", "values"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total, weight = None, None, 0.0
-        out = lambda: pa.RecordBatch.from_pydict({"piece": pa.array([now], pa.int32()), "values": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([weight]), pa.array([total.tobytes()], pa.binary())], names)
         for b in batches:
-            for piece, w, values in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if piece != now:
+            for piece, part, w, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if (piece, part) != now:
                     if now is not None:
                         yield out()
-                    now, total, weight = piece, 0.0, 0.0
-                total, weight = total + w * np.frombuffer(values, np.float32).astype(np.float64), weight + w
+                    now, total, weight = (piece, part), 0.0, 0.0
+                total, weight = total + np.frombuffer(values.as_buffer(), np.float64), weight + w
         if now is not None:
             yield out()
 
-    rows = parts.repartition("piece").sortWithinPartitions("piece", "weight", F.crc32("values")).mapInArrow(add, "piece int, values binary").collect()
-    found = {r["piece"]: np.frombuffer(r["values"], np.float32) for r in rows}
-    return [found[k] for k in range(pieces)] if found else []
+    part = F.floor(F.col("replica") / ADDED).cast("long") if group else F.lit(0).cast("long")
+    rows = parts.withColumn("part", part).repartition("piece", "part").sortWithinPartitions("piece", "part", "replica")
+    return rows.select("piece", "part", "weight", "values").mapInArrow(add, "piece int, replica long, weight double, values binary")
+
+
+def averaged(parts: DataFrame, pieces: int, replicas: int) -> list[np.ndarray]:
+    """Weighted means of the replicas' (piece, replica, weight, values) rows, added as a tree."""
+    while replicas > ADDED:
+        parts, replicas = summed(parts, "part"), -(-replicas // ADDED)
+    found = {r["piece"]: np.frombuffer(r["values"]) / r["weight"] for r in summed(parts, None).collect()}  # of the size of one network
+    return [found[k].astype(np.float32) for k in range(pieces)] if found else []
 
 
 def frequent(counts: DataFrame) -> list:
@@ -335,14 +432,20 @@ def parts_of(n: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (np.log(own / own.sum(0)).ravel() - np.log(np.maximum(words, 1))).astype(np.float32)
 
 
-def train(docs: DataFrame, rate: int = 1, rounds: int = ROUNDS) -> Network:
-    """Learn from every position of every document, or from one in ``rate`` of them; an
-    empty or wordless corpus gives an untrained network."""
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
+    """Learn from every position of every document, each once; an empty or wordless
+    corpus gives an untrained network.
+
+    Rows that are equal are trained as often as they occur.  They are counted before
+    they are dealt, so that a text's copies are spread over the replicas.
+    """
     spark = docs.sparkSession
     seen = common.stored(gather(docs), "gathered")
-    counts = common.cut(seen.where("kind = 0").groupBy("hash").agg(F.sum("count").alias("n")))
-    top = frequent(counts.where(F.col("hash") != 0))
+    counts = common.stored(seen.where("kind = 0").groupBy("hash").agg(F.sum("count").alias("n")), "counts")
+    top = frequent(counts)
     n, words = cells(counts)
+    positions = int(counts.agg(F.sum("n")).first()[0] or 0)
+    common.discard(counts)
     for r in top:
         n[r["hash"] & (CELLS - 1)] -= r["n"]
         words[r["hash"] & (CELLS - 1)] -= 1
@@ -350,34 +453,76 @@ def train(docs: DataFrame, rate: int = 1, rounds: int = ROUNDS) -> Network:
     shares[: len(top)] = [r["n"] for r in top]
     shares[KNOWN:] = n.reshape(-1, SIZE - KNOWN).sum(0)
     network = Network.fresh({int(r["hash"]): k for k, r in enumerate(top)}, parts_of(n, words), shares)
-    streams = seen.where("kind = 1").select("stream")
-    pieces = -(-sum(p.size for p in network.parameters()) // PIECE)
-    for round_ in range(rounds):
-        given = spark.sparkContext.broadcast(network)  # 12 MB, whatever the corpus
-
-        def replicas(batches: Iterator[pa.RecordBatch], given=given, round_=round_) -> Iterator[pa.RecordBatch]:
-            own, n, rng = given.value.copy(), 0, np.random.default_rng(11)
-            sums = own.fresh_sums()
-            for b in batches:
-                for blob in b.column(0):
-                    stream = blob.as_py()
-                    h = np.frombuffer(stream, np.uint32)
-                    frames = rng.permutation(masked(stream, rate, np.where(h == EDGE, np.int32(SIZE), own.ids(h))))
-                    own.train(frames, 0.1 / (1 + round_), sums)
-                    n += len(frames)
-            if n:
-                flat = np.concatenate([p.ravel() for p in own.parameters()])
-                for k in range(pieces):
-                    yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "weight": pa.array([float(n)]), "values": pa.array([flat[k * PIECE : (k + 1) * PIECE].tobytes()], pa.binary())})
-
-        mean = averaged(streams.mapInArrow(replicas, "piece int, weight double, values binary"), pieces)
-        if mean:
-            ends = np.cumsum([p.size for p in network.parameters()])[:-1]
-            shaped = [v.reshape(p.shape) for v, p in zip(np.split(np.concatenate(mean), ends), network.parameters(), strict=True)]
-            network = Network(network.known, network.parts, *shaped)
+    if positions and rounds:
+        streams = common.stored(dealt(seen.where("kind = 1"), network, -(-positions // REPLICA), rounds), "streams")
+        common.discard(seen)
+        for round_ in range(rounds):
+            network = trained(streams.where(F.col("round") == round_), network, -(-positions // REPLICA), 0.1 / (1 + round_))
+        common.discard(streams)
+    else:
+        common.discard(seen)
     return network
 
 
+def dealt(streams: DataFrame, network: Network, replicas: int, rounds: int) -> DataFrame:
+    """(round, replica, body, k, times, ids): each stream's ids, with the replicas that
+    train on it and how many times.
+
+    Copies of a stream go to neighbouring replicas, one each while there are enough.
+    """
+    given = streams.sparkSession.sparkContext.broadcast(network)  # about 12 MB, whatever the corpus
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [given.value.ids(np.frombuffer(x.as_buffer(), np.uint32)).astype(np.uint16).tobytes() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["body", "k", "ids"])
+
+    coded = streams.select("body", "k", "stream").mapInArrow(encode, "body long, k int, ids binary")
+    each = coded.groupBy("body", "k").agg(F.first("ids").alias("ids"), F.count("*").alias("copies"))
+    all_ = replicas * rounds
+    start = F.pmod(F.xxhash64("body", "k"), F.lit(all_))
+    put = each.withColumns({"start": start, "i": F.explode(F.expr(f"sequence(0L, least(copies, {all_}L) - 1)"))})
+    place = F.pmod(F.col("start") + F.col("i"), F.lit(all_))
+    times = F.expr(f"copies div {all_} + if(i < copies % {all_}, 1, 0)")
+    return put.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).cast("long").alias("replica"), "body", "k", times.alias("times"), "ids")
+
+
+def trained(streams: DataFrame, network: Network, replicas: int, rate: float) -> Network:
+    """The mean of replicas of ``network``, each trained on its streams."""
+    given = streams.sparkSession.sparkContext.broadcast(network)
+    pieces = -(-sum(p.size for p in network.parameters()) // PIECE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now = None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own.flush()
+            flat = np.concatenate([p.ravel() for p in own.network.parameters()]).astype(np.float64) * own.seen
+            for k in range(pieces):
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "replica": pa.array([now], pa.int64()), "weight": pa.array([float(own.seen)]), "values": pa.array([flat[k * PIECE : (k + 1) * PIECE].tobytes()], pa.binary())})
+
+        for b in batches:
+            for replica, times, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if replica != now:
+                    if own is not None:
+                        yield from out()
+                    own, now = Replica(given.value, rate), replica
+                frames = frames_of(np.frombuffer(ids.as_buffer(), np.uint16).astype(np.int32), SIZE)
+                for _ in range(times):
+                    own.add(frames)
+        if own is not None:
+            yield from out()
+
+    ordered = streams.repartition(replicas, "replica").sortWithinPartitions("replica", F.xxhash64("k", "body"), "body", "k")
+    mean = averaged(ordered.select("replica", "times", "ids").mapInArrow(run, "piece int, replica long, weight double, values binary"), pieces, replicas)
+    given.unpersist()
+    if not mean:
+        return network
+    ends = np.cumsum([p.size for p in network.parameters()])[:-1]
+    shaped = [v.reshape(p.shape) for v, p in zip(np.split(np.concatenate(mean), ends), network.parameters(), strict=True)]
+    return Network(network.known, network.parts, *shaped)
+
+
 def pseudo_likelihood(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, n_tokens, pll and mean_log_p of every row.
 
@@ -388,7 +533,7 @@ def pseudo_likelihood(docs: DataFrame, network: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, sums = given.value.scores(b.column(1).to_pylist())
+            counts, sums = given.value.scores([x for (x,) in common.rows(b, 1)])
             means = [s / n if n else None for n, s in zip(counts, sums, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "pll", "mean_log_p"])
 
