@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,23 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of the batches in which Spark passes rows to Python, where the session says nothing.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Python workers hold of long texts; a value that the user set stays."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def rows(batch, *columns: int) -> Iterator[tuple]:
+    """A batch's rows (of some columns), made one at a time."""
+    return zip(*((x.as_py() for x in batch.column(i)) for i in columns or range(batch.num_columns)), strict=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +43,7 @@ def shared_root(spark: SparkSession) -> str:
     Where the setting is absent on one machine (tests) a folder is made and set; on a
     cluster it has to be given.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -82,6 +100,25 @@ def discard(df: DataFrame) -> None:
     drop_folder(df.sparkSession, df.stored_in)
 
 
+#: Keys that are broadcast at most (a number and a hash each); more are joined by a shuffle.
+SENT = 1_000_000
+
+
+def body_of(docs: DataFrame) -> Column:
+    """A 64-bit hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``keys`` (two columns: doc_id, and the text's ``body_of``) as ``how`` says.
+
+    Texts stay in place while the keys are few enough to be sent.
+    """
+    id_, body = keys.columns
+    same = docs["doc_id"].cast("long").eqNullSafe(keys[id_]) & (body_of(docs) == keys[body])
+    return docs.join(F.broadcast(keys) if keys.count() <= SENT else keys, same, how)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores added until ``df`` has no such column."""
     taken, out = {c.lower() for c in df.columns}, []

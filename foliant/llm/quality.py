@@ -174,13 +174,17 @@ def learn(labelled: DataFrame, bins: int = 12, most_rules: int = 12, most_parts:
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
-    """The statistics of ``docs`` (doc_id, text), written without the texts, and a list
-    learned from those of the documents that pass the base test and have a label.
+    """The statistics of ``docs`` (doc_id, text) and their texts' hashes (``body``), written
+    without the texts, and a list learned from those of the documents that pass the
+    base test and have a label.
 
     Only these few numbers of each document meet the labels.  Labels other than
-    0 and 1 are left out; a repeated doc_id counts as bad if any of its rows is.
+    0 and 1 are left out; a doc_id that is labelled more than once counts as bad if
+    any of its labels does, and rows that repeat a doc_id are learned each.  Other
+    columns of ``docs`` are ignored, whatever their names.
     """
-    stats = common.stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "statistics")
+    rows = docs.select("doc_id", "text").withColumn("body", common.body_of(docs))
+    stats = common.stored(with_statistics(rows).drop("text"), "statistics")
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("bad"))
     return stats, learn(stats.where("not base_failed").join(marked, "doc_id"))
 
@@ -193,6 +197,16 @@ def judged(stats: DataFrame, rules: DecisionList) -> DataFrame:
     return stats.withColumn("rule", rules.column()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any columns) that pass the base test and the
+    rules learned from them; statistics are computed once, and the verdicts, which
+    follow from the text alone, come back by doc_id and text hash.
+    """
+    verdicts = judged(*learned(docs, labels))
+    gone = common.stored(verdicts.where("not kept").select(F.col("doc_id").cast("long").alias("own_id"), F.col("body").alias("own_body")).distinct(), "rejected")
+    return common.among(docs, gone, "left_anti")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     return judged(*learned(docs, labels)).select("doc_id", *BASE, "base_failed", "kept", "rule")
