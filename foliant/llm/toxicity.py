@@ -12,7 +12,7 @@ Labels come only from the training folds; a score uses the text alone.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,8 @@ from . import common
 
 #: Labelled rows that are fitted, of each label: those with the smallest hashes.
 SAMPLE = 8_000
-#: Sentence pairs at most, and words that may carry a weight.
+#: Distinct sentence pairs that are fitted, those with the smallest hashes, and words
+#: that may carry a weight.
 PAIRS, WORDS = 20_000, 2_048
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
@@ -65,35 +66,47 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def scores(self, texts: list[str]) -> list[float]:
+    def scores(self, texts: Iterable[str]) -> list[float]:
         known, get = self.weights.keys(), self.weights.__getitem__
         z = np.array([self.bias + sum(map(get, sorted(known & words_of(t)))) for t in texts])
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
-def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float = 1.0, ridge: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias: balanced logistic loss + ridge + fairness * mean squared logit change.
+def slopes(w: np.ndarray, b: float, data: tuple, fairness: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Gradient of the loss that ``fit`` names; ``data`` as ``laid_out`` gives it."""
+    row, col, y, share, pair, pair_col, sign, weight = data
+    z = np.bincount(row, w[col], len(y)) + b
+    g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+    gw, gb = np.bincount(col, g[row], len(w)) + ridge * w, float(g.sum())
+    if len(weight):
+        change = weight * np.bincount(pair, sign * w[pair_col], len(weight))
+        gw = gw + 2 * fairness / weight.sum() * np.bincount(pair_col, sign * change[pair], len(w))
+    return gw, gb
 
-    Rows and pairs stay lists of places, so memory follows the words that occur.
-    """
+
+def laid_out(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], weights: list[float] | None) -> tuple:
+    """Rows and pairs as lists of places, so memory follows the words that occur."""
     flat = lambda lists: (np.repeat(np.arange(len(lists)), [len(r) for r in lists]), np.array([c for r in lists for c in r], np.int64))
     row, col = flat(rows)
     one, one_col = flat([a for a, _ in pairs])
     two, two_col = flat([b for _, b in pairs])
-    pair, pair_col, sign = np.concatenate([one, two]), np.concatenate([one_col, two_col]), np.repeat([1.0, -1.0], [len(one), len(two)])
     y = np.array(labels, np.float64)
     n1 = max(1.0, float(y.sum()))
     share = np.where(y > 0, 0.5 / n1, 0.5 / max(1.0, len(y) - n1))
+    weight = np.ones(len(pairs)) if weights is None else np.array(weights, np.float64)
+    return row, col, y, share, np.concatenate([one, two]), np.concatenate([one_col, two_col]), np.repeat([1.0, -1.0], [len(one), len(two)]), weight
+
+
+def fit(
+    rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]], size: int, fairness: float = 1.0, ridge: float = 2e-4, steps: int = 400, weights: list[float] | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and bias: balanced logistic loss + ridge / 2 * squares + fairness * weighted mean squared logit change."""
+    data = laid_out(rows, labels, pairs, weights)
     w, b = np.zeros(size), 0.0
     # Adam on the whole sample; the loss is convex.
     m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.1
     for step in range(1, steps + 1):
-        z = np.bincount(row, w[col], len(rows)) + b
-        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(col, g[row], size) + ridge * w, float(g.sum())
-        if len(pairs):
-            change = np.bincount(pair, sign * w[pair_col], len(pairs))
-            gw = gw + (2 * fairness / len(pairs)) * np.bincount(pair_col, sign * change[pair], size)
+        gw, gb = slopes(w, b, data, fairness, ridge)
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.999**step
@@ -110,9 +123,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: float = 1.0) -> Model:
     """Fit on at most ``sample`` rows of each label (0 and 1) outside the held-out fold.
 
-    A doc_id labelled more than once counts as toxic if any label is 1.  Null
-    labels and null doc_ids are left out.  Without rows of both labels the model
-    scores every text alike, below the threshold.
+    A doc_id labelled more than once counts as toxic if any label is 1; of documents
+    that repeat a doc_id the one with the greatest text hash is fitted.  Null labels
+    and null doc_ids are left out.  All sentences of the sampled rows that name an
+    identity give pairs; equal pairs are one with a weight, and of more than ``PAIRS``
+    distinct ones those with the smallest hashes count.  Without rows of both labels
+    the model scores every text alike, below the threshold.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -122,7 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: fl
     ids = common.cut(chosen)
     if ids.groupBy("toxic").count().count() < 2:
         return Model({}, -2.0)
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # at most 2 * sample rows
+    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = F.max(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    texts = texts.groupBy("doc_id", "toxic").agg(one).select("doc_id", "one.text", "toxic")  # at most 2 * sample rows
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("words", pa.list_(pa.string())), ("pairs", pa.list_(pa.list_(pa.list_(pa.string()))))])
@@ -150,23 +168,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: fl
     names = sorted({r["word"] for r in picked} | set(SWAP))
     place = {w: k for k, w in enumerate(names)}
     wanted = F.array(*map(F.lit, names))
-    data = rows.select("doc_id", "toxic", F.array_intersect("words", wanted).alias("words"), F.transform("pairs", lambda p: F.transform(p, lambda x: F.array_intersect(x, wanted))).alias("pairs")).orderBy("doc_id").collect()
+    data = rows.select("doc_id", "toxic", F.array_intersect("words", wanted).alias("words")).orderBy("doc_id").collect()
+    short = rows.select(F.explode("pairs").alias("pair")).select(F.transform("pair", lambda x: F.array_intersect(x, wanted)).alias("pair"))
+    alike = short.groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.xxhash64("pair"), "pair").limit(PAIRS).collect()
     numbers = lambda found: [place[w] for w in found]
-    pairs = [(numbers(a), numbers(b)) for r in data for a, b in r["pairs"]][:PAIRS]
-    w, bias = fit([numbers(r["words"]) for r in data], [r["toxic"] for r in data], pairs, len(names), fairness)
+    pairs = [(numbers(r["pair"][0]), numbers(r["pair"][1])) for r in alike]
+    w, bias = fit([numbers(r["words"]) for r in data], [r["toxic"] for r in data], pairs, len(names), fairness, weights=[r["n"] for r in alike])
     return Model({n: float(w[k]) for n, k in place.items() if abs(w[k]) > 1e-4}, bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; null texts are scored as empty ones.
 
-    Columns of ``docs`` stay, but those named as the new ones are replaced.
+    Repeated rows score alike and a text is taken whole, however long.  Columns of
+    ``docs`` stay, but those named as the new ones are replaced; ``non_toxic`` filters
+    and leaves every column as it is.  An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = model.scores([t or "" for t in b.column(names.index("text")).to_pylist()])
+            scores = model.scores(t or "" for (t,) in common.rows(b, names.index("text")))
             found = pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, *found], [*names, "score", "predicted"])
 
@@ -175,6 +197,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return base.mapInArrow(run, schema)
 
 
+def non_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = model.scores(t or "" for (t,) in common.rows(b, at))
+            yield b.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = train(docs, labels)
