@@ -153,9 +153,11 @@ def with_roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     # Counting first makes a payload's copies one row for each task; only digests
     # that do repeat, a few bytes each, meet the pages again.
     again = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("key", "last")
-    rows = rows.withColumn("key", F.coalesce("key", F.unhex(F.sha1(F.concat(F.lit("alone"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))))
-    joined = rows.join(again, "key", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
+    again = common.stored(again, "repeated")
+    # Payloads stay in place while the digests that repeat are few enough to be sent;
+    # else they move by digest, where Spark splits what one digest has too much of.
+    met = rows.join(F.broadcast(again) if again.count() <= common.SENT else again, "key", "left")
+    return met.select("page_id", "url", "payload", F.when(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
