@@ -8,8 +8,9 @@ rows and so the same number of bytes, which makes the place of every sequence
 computable; a memory map gives it without copying.  A part's documents are in
 ``part-N.index.arrow``: doc_id, first (position in the part) and n_tokens.
 
-Rows are dealt to parts by ranges of (doc_id, crc32 of the text), so that even a
-repeated doc_id is spread; the parts follow each other in that order.
+Rows are dealt to parts by ranges of (doc_id, crc32 of the text, place in the
+input), so that even a repeated row is spread; the parts follow each other in that
+order.
 """
 
 from __future__ import annotations
@@ -68,25 +69,28 @@ class SequenceWriter:
 
 class SequenceFile:
     """Random access to a part file; ``sequence`` and ``span`` of a map copy nothing
-    but what crosses batches."""
+    but what crosses batches.
+
+    Batch ``k`` starts ``k`` times the first one's bytes after it, in any store: one
+    seek and one read, or none of either where the file is mapped.
+    """
 
     def __init__(self, source):
         self.source = source
-        reader = pa.ipc.open_stream(source)
-        self.rows, self.length = int(reader.schema.metadata[b"rows"]), int(reader.schema.metadata[b"length"])
-        self.batches = list(reader) if isinstance(source, pa.MemoryMappedFile) else None
-        self.reader = reader if self.batches is None else None
-        self.at, self.now = -1, None
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(source))
+        self.rows, self.length = (int(self.schema.metadata[c]) for c in (b"rows", b"length"))
+        self.start, self.step, self.at, self.now = source.tell(), 0, -1, None
+
+    def _read(self, at: int) -> pa.RecordBatch:
+        self.source.seek(at)
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
 
     def _batch(self, k: int) -> pa.RecordBatch:
-        """Batch ``k``; a store without memory maps is read forwards, a batch at a time."""
-        if self.batches is not None:
-            return self.batches[k]
-        if k < self.at:
-            self.source.seek(0)
-            self.reader, self.at = pa.ipc.open_stream(self.source), -1
-        while self.at < k:
-            self.now, self.at = self.reader.read_next_batch(), self.at + 1
+        if not self.step:
+            self.now, self.at = self._read(self.start), 0
+            self.step = self.source.tell() - self.start
+        if k != self.at:
+            self.now, self.at = self._read(self.start + k * self.step), k
         return self.now
 
     def sequence(self, k: int) -> tuple[np.ndarray, pa.Array]:
@@ -114,10 +118,12 @@ def write_parts(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END,
     Returns one row for each part that has documents, in order: part, uri,
     n_docs, n_tokens.  A null text counts as empty (its ids are the end id
     alone), a null doc_id comes first, rows with equal doc_id and text are each
-    written.  Other columns of ``docs`` are ignored.
+    written.  A text is taken whole, over as many sequences and batches as it fills.
+    An empty table writes nothing.  Other columns of ``docs`` are ignored.
     """
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = dealt.withColumn("tie", F.crc32("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = dealt.withColumns({"tie": F.crc32("text"), "place": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     dealt = dealt.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
