@@ -45,7 +45,7 @@ class TreeBpe:
         marked = {i: m for m, i in bpe.marks.items()}
         #: What an id adds to a stream: its letters, and a space if it ends its word.
         self.letters = [marked[i] + " " if i in marked else s[: -len(end)] + " " if end and s.endswith(end) else s for i, s in enumerate(bpe.strings)]
-        self.open_ids = Bounded(self._open, 100_000)
+        self.open_ids = Bounded(self._open, 16_000_000)
 
     def _open(self, word: str) -> bytes:
         return packed([t.id for t in self.bpe.open_model.tokenize(word)] if word else [])
@@ -135,9 +135,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, segment: int = SEGMENT, le
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_bpe(tokenizer)
         for b in batches:
-            pairs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for k in range(0, len(pairs), 500):  # what goes back stays small
-                yield _batch(schema, [result(tree, d, tree.encode(t, leaf)) for d, t in pairs[k : k + 500]])
+            for k in range(0, b.num_rows, 500):  # what goes back stays small
+                yield _batch(schema, [result(tree, d, tree.encode(t, leaf)) for d, t in common.rows(b.slice(k, 500))])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = tree_bpe(tokenizer)

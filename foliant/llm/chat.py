@@ -103,7 +103,9 @@ def conversations_as_trees(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text as messages: each turn replies to the one before.
 
     Rows follow each other by turn (null first), role and text; repeated rows are
-    turns of their own.  Roles and texts that are null count as empty.
+    turns of their own.  Roles and texts that are null count as empty.  Rows without a
+    conv_id are one conversation, without a conv_id.  ``op4`` adds its two turns to
+    the rows, so a conversation -1 of the table itself has them among its own.
     """
     text, role = (F.coalesce(c, F.lit("")) for c in ("text", "role"))
     rows = rows.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))

@@ -46,8 +46,6 @@ LONGER = 20
 CHUNK, CHUNK_SHINGLES = 256, 1 << 17
 #: Rows of a token that meet in a task; tokens that the sketch counts more often are spread.
 HOT = 4096
-#: Text hashes that are broadcast at most (16 bytes each); more are joined by a shuffle.
-SENT = 1_000_000
 #: Nodes that a task remembers as already written.
 REMEMBERED = 50_000
 #: Columns of an incidence matrix at once.
@@ -112,23 +110,12 @@ def _nodes_and_counts(docs: DataFrame, words: int, per_cent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.uint32)
         for b in batches:
-            nodes, sizes, met, waiting = [], [], [], 0
-
-            def count() -> None:
-                if met:
-                    np.add(total, np.bincount(np.concatenate(met), minlength=SKETCH), out=total, casting="unsafe")
-                    met.clear()
-
-            for text in b.column(2).to_pylist():
+            nodes, sizes = [], []
+            for (text,) in common.rows(b, 2):
                 node, found = make.node(text)
                 nodes.append(node)
                 sizes.append(len(found))
-                met.append(make.cells(found).astype(np.int32))
-                waiting += len(found)
-                if waiting > SKETCH:
-                    count()
-                    waiting = 0
-            count()
+                np.add.at(total, make.cells(found), np.uint32(1))
             m = len(nodes)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         pieces = [k for k in range(SKETCH // PIECE) if total[k * PIECE : (k + 1) * PIECE].any()]
@@ -178,7 +165,7 @@ def _keys(docs: DataFrame, words: int, per_cent: int, sketch, hot: int) -> DataF
         make, seen = Orders(words, per_cent, sketch.value), Seen()
         for b in batches:
             held, waiting = [], 0
-            for text in b.column(0).to_pylist():
+            for (text,) in common.rows(b, 0):
                 node, found = make.node(text)
                 n = len(found)
                 if not n or node in seen:
@@ -250,7 +237,7 @@ def _sets(texts: DataFrame, words: int, per_cent: int, sketch) -> DataFrame:
         make, seen = Orders(words, per_cent, sketch.value), Seen()
         for b in batches:
             rows = []
-            for chunk, node, c, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for chunk, node, c, text in common.rows(b):
                 if node in seen:
                     continue
                 own, found = make.node(text)
@@ -462,7 +449,7 @@ def _chunks(rows: DataFrame, members: DataFrame, homes: DataFrame, words: int, p
     """(chunk, members): the sets of each chunk's nodes, each from one of its texts."""
     chosen = members.where("n > 0").groupBy("node").agg(F.min("body").alias("body"), F.count("*").alias("c")).join(homes, "node")
     chosen = common.stored(chosen, "chosen")
-    few = chosen.count() <= SENT
+    few = chosen.count() <= common.SENT
     texts = rows.join(F.broadcast(chosen) if few else chosen, "body").select("chunk", "node", "c", "text")
     sets = _sets(texts, words, per_cent, sketch).dropDuplicates(["node"])
     made = common.stored(sets.groupBy("chunk").agg(F.collect_list(F.struct("node", "c", "shingles", "second", "third")).alias("members")), "chunks")
@@ -565,13 +552,10 @@ def one_of_each(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFram
     chosen = rows[id_].eqNullSafe(first[id_]) & (rows[body] == first[body])
     gone = common.stored(rows.join(first, chosen, "left_anti").select(*names), "gone")
     twice = common.stored(rows.where("copies > 1").join(first, chosen, "left_semi").select(*names), "twice")
-    here = lambda k: docs["doc_id"].cast("long").eqNullSafe(k[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == k[body])
-    out = gone.unionByName(twice)
-    sent = F.broadcast if out.count() <= SENT else lambda x: x
-    kept = docs.join(sent(out), here(out), "left_anti")
+    kept = common.among(docs, gone.unionByName(twice), "left_anti")
     if twice.isEmpty():
         return kept
-    again = docs.join(sent(twice), here(twice)).dropDuplicates(names)
+    again = common.among(docs, twice, "inner").dropDuplicates(names)
     return kept.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 

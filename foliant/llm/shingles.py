@@ -11,7 +11,7 @@ U = np.uint64
 #: Odd factors of the shingle polynomial and of the finishing mix.
 BASE, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
-_hashes = Bounded(xxhash.xxh64_intdigest, 250_000)
+_hashes = Bounded(xxhash.xxh64_intdigest, 32_000_000)
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -41,22 +41,32 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Bounded(dict):
-    """A dictionary that computes what it lacks and starts anew when it is full."""
+    """A dictionary that computes what it lacks and starts anew when it holds ``most`` bytes.
+
+    Long keys are computed each time and never held.
+    """
+
+    LONG, EACH = 200, 150  # bytes of an entry besides its key and value
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        if len(key) > self.LONG:
+            return value
+        self.held += self.EACH + len(key) + (32 if isinstance(value, int) else len(value))
+        if self.held > self.most:
             self.clear()
-        self[key] = value = self.make(key)
+            self.held = 0
+        self[key] = value
         return value
 
 
 class WordBpe:
-    """``kept`` bounds the dictionary's entries; it changes speed, never ids."""
+    """``kept`` bounds the bytes of each dictionary; it changes speed, never ids."""
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 32_000_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
