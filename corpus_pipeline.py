@@ -2,13 +2,18 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of their ``docs``, whatever their names and however many.
+
+A null text counts as empty: it fails the base test of the first stage, is no copy
+of anything, covers nothing and has no tokens.  Null and repeated doc_ids are rows
+like others: of rows that are equal in doc_id and text one is left by the join of
+near copies, rows that differ in either are judged on their own.  An empty table
+gives an empty one; very long texts are taken whole.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliant.llm import bpe_tree, common, jaccard, quality, tiling, toxicity
 
@@ -18,14 +23,12 @@ WORDS, PER_CENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base test and every learned rule."""
-    _, rules = quality.learned(docs, common.table(spark, sf_dir, "labels"))
-    return quality.judged(quality.with_statistics(docs), rules).where("kept").select(*docs.columns)
+    return quality.kept(docs, common.table(spark, sf_dir, "labels"))
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.non_toxic(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in whose text no benchmark item is covered."""
-    found = tiling.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(common.cut(found), F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti").select(*docs.columns)
+    return tiling.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
