@@ -104,6 +104,11 @@ EFFECTS = ("strong_success", "partial_success", "no_effect", "unknown")
 ACTIONS = ("increased", "promised_increase", "maintained", "decreased", "unknown")
 
 
+def label_of(column: str, labels: dict[str, str]) -> Column:
+    """The display label of an identifier; one without a label stands for itself."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col(column)], F.col(column))
+
+
 def by_terms(value: str | Column, order: list[tuple[tuple[str, ...], str]], default: str) -> Column:
     text = F.lower(or_empty(value))
     return first_label([(contains_any(text, terms), label) for terms, label in order], default)

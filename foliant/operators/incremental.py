@@ -66,10 +66,17 @@ def replace_block(text: str | Column, name: str, content: str | Column) -> Colum
     return F.when((at > 0) & (stop > 0), made).otherwise(F.raise_error(F.lit(f"markers missing: {name}")))
 
 
-def progress(items: DataFrame, corpus: int, tags: str = "research_tags") -> DataFrame:
-    """One row: analysed papers, coverage in per cent, and counts of effects and actions."""
-    return items.agg(
-        F.count("*").alias("analyzed_papers"),
-        F.bround(F.count("*") / F.lit(corpus) * 100, 4).alias("coverage_percent"),
-        F.sum(F.size(F.coalesce(F.col(tags), F.array().cast("array<string>")))).alias("n_tags"),
-    )
+def progress(items: DataFrame, corpus: int, tags: str = "research_tags", outcomes: str = "response_outcomes", top: int = 20) -> DataFrame:
+    """(metric, key, value): analysed papers and their coverage in per cent, papers of the
+    ``top`` tags, and outcomes by effectiveness and by score action (null or empty: unknown)."""
+    number = lambda c: c.cast("double").alias("value")
+    none = F.lit(None).cast("string").alias("key")
+    known = lambda c: F.coalesce(F.nullif(F.col(f"o.{c}"), F.lit("")), F.lit("unknown")).alias("key")
+    totals = items.agg(F.count("*").alias("n"))
+    rows = totals.select(F.lit("analyzed_papers").alias("metric"), none, number(F.col("n")))
+    rows = rows.unionByName(totals.select(F.lit("coverage_percent").alias("metric"), none, number(F.bround(F.col("n") / F.lit(corpus) * 100, 4))))
+    each = items.select(F.explode(outcomes).alias("o"))
+    for metric, field in (("response_effectiveness", "effectiveness"), ("score_actions", "score_action")):
+        rows = rows.unionByName(each.groupBy(known(field)).agg(number(F.count("*"))).withColumn("metric", F.lit(metric)))
+    common = items.select(F.explode(tags).alias("key")).where("key <> ''").groupBy("key").agg(number(F.count("*"))).orderBy(F.desc("value"), "key").limit(top)
+    return rows.unionByName(common.withColumn("metric", F.lit("top_research_tags")))

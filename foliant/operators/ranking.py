@@ -54,6 +54,38 @@ def hash_order(year: str, key: str) -> list[Column]:
     return [F.col(year).asc(), F.sha2(F.col(key).cast("string"), 256).asc()]
 
 
+def places(df: DataFrame, coarse: dict[str, Column], order: list, place: str = "place") -> DataFrame:
+    """Every row's place in the whole order, from 1, without one task for all rows.
+
+    ``coarse`` names leading parts of the order, ascending, nulls first, as columns
+    of few values: they are counted and summed up, and rows are numbered by
+    ``order`` among those that agree in them.
+    """
+    names = list(coarse)
+    rows = df.withColumns(coarse)
+    counts = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    before = W.orderBy(*[F.col(c).asc_nulls_first() for c in names]).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n").withColumnsRenamed({c: f"{c}_" for c in names})
+    numbered = rows.withColumn(place, F.row_number().over(W.partitionBy(*names).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names]
+    return numbered.join(counts, same).withColumn(place, F.col(place) + F.col("_before")).drop("_before", *names, *[f"{c}_" for c in names])
+
+
+def newest_first(date: str, key: str) -> list[Column]:
+    """The latest date first, then the greatest id."""
+    return [F.desc(date), F.desc(key)]
+
+
+def preview(both: DataFrame, one: DataFrame, two: DataFrame, order: list, n: int = 30) -> DataFrame:
+    """All of the intersection, then the first ``n`` of either list."""
+    return both.unionByName(one.orderBy(*order).limit(n)).unionByName(two.orderBy(*order).limit(n))
+
+
+def first_batches(batches: DataFrame, name: str, n: int) -> DataFrame:
+    """The first ``n`` batches by file name."""
+    return batches.orderBy(name).limit(n)
+
+
 def tier_rank(tier: str) -> Column:
     t = F.col(tier)
     return F.when(t == "core", 0).when(t == "adjacent", 1).when(t.isNull(), 2).when(t == "generic", 3)

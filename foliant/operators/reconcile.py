@@ -33,9 +33,21 @@ def routed(papers: DataFrame, patterns: list[tuple[str, str, str, str]], fallbac
     return papers.withColumn("archetype", F.explode(F.array_distinct(F.flatten(F.array(*per)))))
 
 
-def regex_join(rows: DataFrame, search: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Theta join of texts with a small pattern table (a literal one: its size is known)."""
-    return rows.join(F.broadcast(patterns), F.expr(f"`{search}` rlike concat('(?i)', `{pattern}`)"))
+def regex_join(rows: DataFrame, search: str, patterns: dict[str, str], rule: str = "rule") -> DataFrame:
+    """A row for each literal pattern that occurs in a text: unrolled, each is compiled once."""
+    hits = F.filter(F.array(*[F.when(F.col(search).rlike(f"(?i){p}"), F.lit(i)) for i, p in patterns.items()]), lambda x: x.isNotNull())
+    return rows.withColumn(rule, F.explode(hits))
+
+
+def attributed(base: DataFrame, later: DataFrame, key: str, value: str, when: str) -> DataFrame:
+    """(key, value) of every key of either source: the last of ``later`` by ``when``, else that of ``base``."""
+    rows = base.select(key, value, F.lit(None).cast(later.schema[when].dataType).alias(when)).unionByName(later.select(key, value, when))
+    return rows.groupBy(key).agg(F.max(F.struct(F.col(when).alias("w"), F.col(value).alias("v"))).alias("last")).select(key, F.col("last.v").alias(value))
+
+
+def provenance_counts(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """How many outcomes were merged from events, and how many were reconciled."""
+    return outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("merged_from").isNotNull()).alias("merged"), F.count_if("reconciled").alias("reconciled"))
 
 
 def membership(groups: DataFrame, group: str, members: str) -> DataFrame:

@@ -56,10 +56,18 @@ LINES = r"""lines AS (SELECT doc_id, i, trim(regexp_replace(l, '\s+', ' ', 'g'))
 SELECT doc_id, count(*) FILTER (WHERE r = 1)::BIGINT AS kept, count(*) FILTER (WHERE r > 1)::BIGINT AS dropped FROM k GROUP BY doc_id""")
 def line_dedup_stats(spark, d):
     """First occurrences and repeats of each document's lines."""
+    lines = F.filter(F.transform(text.split_lines("text"), lambda x: F.lower(text.normalize_space(x))), lambda x: x != "")
+    made = F.explode(F.array(F.struct(F.size(lines).alias("all"), F.size(F.array_distinct(lines)).alias("kept")))).alias("n")  # in the row: no shuffle
+    rows = t(spark, d, "documents").select("doc_id", made).where("n.all > 0")
+    return rows.select("doc_id", long("n.kept").alias("kept"), long(F.col("n.all") - F.col("n.kept")).alias("dropped"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, i::BIGINT - 1 AS pos, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) > 1 AS repeat FROM lines WHERE line <> ''""")
+def line_first_occurrence(spark, d):
+    """Every line with whether an earlier one of its document is equal."""
     rows = t(spark, d, "documents").select("doc_id", F.posexplode(text.split_lines("text")).alias("i", "line"))
     rows = rows.withColumn("line", F.lower(text.normalize_space("line"))).where("line <> ''")
-    rows = first_occurrence(rows, ["doc_id"], "line", ["i"])
-    return rows.groupBy("doc_id").agg(F.count_if(~F.col("repeat")).alias("kept"), F.count_if("repeat").alias("dropped"))
+    return first_occurrence(rows, ["doc_id"], "line", ["i"]).select("doc_id", long("i").alias("pos"), "repeat")
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies, sha256(text) AS digest FROM documents GROUP BY text")
@@ -75,8 +83,8 @@ SELECT doc_id, first_seen FROM r WHERE r = 1""")
 def best_duplicate(spark, d):
     """The longest of each group of texts equal but for space and case."""
     rows = t(spark, d, "documents").select("doc_id", "n_chars", F.sha2(F.lower(text.normalize_space("text")), 256).alias("k"))
-    rows = rows.withColumn("first_seen", F.min("doc_id").over(W.partitionBy("k")))
-    return ranking.best_per_key(rows, ["k"], [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "first_seen")
+    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("id"))).alias("best")
+    return rows.groupBy("k").agg(best, F.min("doc_id").alias("first_seen")).select((-F.col("best.id")).alias("doc_id"), "first_seen")
 
 
 @query("SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -175,7 +183,8 @@ SELECT * FROM c ORDER BY n DESC, first_seen LIMIT 20""".replace("\\\\", "\\"))
 def tag_frequency_topk(spark, d):
     """A10 T4: the most common words, ties by first appearance."""
     rows = t(spark, d, "documents").select("doc_id", F.posexplode(text.words(F.lower("text"))).alias("i", "w"))
-    return ranking.most_common(rows.withColumn("o", F.col("doc_id") * 1_000_000 + F.col("i")), "w", "o", 20)
+    top = ranking.most_common(rows.withColumn("o", F.struct("doc_id", "i")), "w", "o", 20)
+    return top.withColumn("first_seen", F.col("first_seen.doc_id") * 1_000_000 + F.col("first_seen.i"))
 
 
 @query(r"""SELECT role, count(*)::BIGINT AS n, round_even(avg(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))), 1) AS mean_words FROM conversations GROUP BY role""")
@@ -220,13 +229,55 @@ def topk_examples(spark, d):
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'core' WHEN 1 THEN 'adjacent' WHEN 2 THEN 'generic' END AS tier, p_size, p_name FROM part)
-SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN tier = 'core' THEN 0 WHEN tier = 'adjacent' THEN 1 WHEN tier IS NULL THEN 2 ELSE 3 END, p_size DESC, lower(p_name), p_partkey)::BIGINT AS place FROM p ORDER BY place LIMIT 500""")
+SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN tier = 'core' THEN 0 WHEN tier = 'adjacent' THEN 1 WHEN tier IS NULL THEN 2 ELSE 3 END, p_size DESC, lower(p_name), p_partkey)::BIGINT AS place FROM p""")
 def tier_sort(spark, d):
-    """Custom tier order; the first 500 places of the report."""
+    """Custom tier order: the place of every row in the report."""
     p = t(spark, d, "part").withColumn("tier", F.expr("case p_size % 4 when 0 then 'core' when 1 then 'adjacent' when 2 then 'generic' end"))
     order = [ranking.tier_rank("tier"), F.desc("p_size"), F.lower("p_name"), F.asc("p_partkey")]
-    top = p.orderBy(*order).limit(500)
-    return top.select("p_partkey", long(F.row_number().over(W.orderBy(*order))).alias("place"))
+    coarse = {"tier_place": F.coalesce(ranking.tier_rank("tier"), F.lit(3)), "by_size": -F.col("p_size"), "letters": F.substring(F.lower("p_name"), 1, 2)}
+    return ranking.places(p, coarse, order).select("p_partkey", long("place").alias("place"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC)::BIGINT AS place FROM orders")
+def newest_first(spark, d):
+    """Reverse sort by date and id: the place of every row."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    coarse = {"day": F.datediff(F.lit("2100-01-01").cast("date"), F.col("o_orderdate").cast("date"))}
+    return ranking.places(o, coarse, ranking.newest_first("o_orderdate", "o_orderkey")).select("o_orderkey", long("place").alias("place"))
+
+
+@query("""WITH b AS (SELECT doc_id, n_chars, lang = 'en' AS one, n_chars > 5000 AS two FROM documents)
+SELECT doc_id, 'both' AS part FROM b WHERE one AND two UNION ALL SELECT * FROM (SELECT doc_id, 'one' FROM b WHERE one AND NOT two ORDER BY n_chars DESC, doc_id LIMIT 30)
+UNION ALL SELECT * FROM (SELECT doc_id, 'two' FROM b WHERE two AND NOT one ORDER BY n_chars DESC, doc_id LIMIT 30)""")
+def preview_union(spark, d):
+    """The intersection and a preview of 30 of either list."""
+    docs, one, two = t(spark, d, "documents").select("doc_id", "n_chars", "lang"), F.col("lang") == "en", F.col("n_chars") > 5000
+    part = lambda where, name: docs.where(where).withColumn("part", F.lit(name))
+    return ranking.preview(part(one & two, "both"), part(one & ~two, "one"), part(two & ~one, "two"), [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "part")
+
+
+@query("SELECT p_brand AS batch, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY 1 LIMIT 3")
+def first_batches(spark, d):
+    """The first three prepared batches by name."""
+    return ranking.first_batches(t(spark, d, "part").groupBy(F.col("p_brand").alias("batch")).agg(F.count("*").alias("n")), "batch", 3)
+
+
+@query("""WITH m AS (SELECT o_custkey, arg_max(year(o_orderdate), o_orderkey) AS y FROM orders GROUP BY 1)
+SELECT coalesce(c_custkey, o_custkey) AS paper, coalesce(y, 2000 + c_nationkey)::INT AS year FROM customer FULL JOIN m ON c_custkey = o_custkey""")
+def year_attribution(spark, d):
+    """The inventory's year of each paper, replaced by the last manifest that has it."""
+    base = t(spark, d, "customer").select(F.col("c_custkey").alias("paper"), (2000 + F.col("c_nationkey")).cast("int").alias("year"))
+    later = t(spark, d, "orders").select(F.col("o_custkey").alias("paper"), F.year("o_orderdate").cast("int").alias("year"), "o_orderkey")
+    return reconcile.attributed(base, later, "paper", "year", "o_orderkey")
+
+
+LABELS = {"ASIA": "Asia / 亚洲", "EUROPE": "Europe / 欧洲", "AFRICA": "Africa / 非洲"}
+
+
+@query("SELECT r_regionkey, CASE r_name WHEN 'ASIA' THEN 'Asia / 亚洲' WHEN 'EUROPE' THEN 'Europe / 欧洲' WHEN 'AFRICA' THEN 'Africa / 非洲' ELSE r_name END AS label FROM region")
+def bilingual_labels(spark, d):
+    """labels by a literal map."""
+    return t(spark, d, "region").select("r_regionkey", rules.label_of("r_name", LABELS).alias("label"))
 
 
 STRATA = "c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), q AS (SELECT lang, n, 137 * n / sum(n) OVER () AS x FROM c), f AS (SELECT *, floor(x) AS fl FROM q), k AS (SELECT *, row_number() OVER (ORDER BY x - fl DESC, n DESC, lang) AS r, 137 - sum(fl) OVER () AS rest FROM f), z AS (SELECT lang, n::BIGINT AS n, (fl + CASE WHEN r <= rest THEN 1 ELSE 0 END)::BIGINT AS quota FROM k)"
@@ -300,19 +351,22 @@ def left_default(spark, d):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN b.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS status
-FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 > 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
+FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
 def id_reconciliation(spark, d):
-    """Ids on either side (documents outside src0's thirds against labels)."""
-    return reconcile.reconcile_ids(t(spark, d, "documents").where("doc_id % 3 > 0"), t(spark, d, "labels"), "doc_id")
+    """Ids on either side, of all documents and all labels."""
+    return reconcile.reconcile_ids(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id")
 
 
-@query("""WITH o AS (SELECT user_id AS paper, event_id AS pos, event_type AS act, 'model' AS effect FROM events WHERE event_id % 2 = 0),
+MERGE = """WITH o AS (SELECT user_id AS paper, event_id AS pos, event_type AS act, 'model' AS effect FROM events WHERE event_id % 2 = 0),
 e AS (SELECT user_id AS paper, event_id AS ord, event_type AS act, CAST(value AS VARCHAR) AS ev FROM events WHERE event_id % 2 = 1),
 g AS (SELECT paper, act, min(ord) AS first_ord, count(*) AS n, max(ord) AS last_ord FROM e GROUP BY ALL),
 l AS (SELECT *, pos = max(pos) OVER (PARTITION BY paper, act) AS last FROM o)
 SELECT coalesce(l.paper, g.paper) AS paper, coalesce(l.act, g.act) AS act, l.pos, CASE WHEN l.pos IS NULL THEN g.first_ord END AS event_ord,
  CASE WHEN l.pos IS NULL OR (l.last AND g.n IS NOT NULL) THEN g.last_ord END AS merged_from, (coalesce(l.last AND g.n IS NOT NULL, false) OR (l.pos IS NULL AND g.n > 1)) AS reconciled
-FROM l FULL JOIN g ON l.paper = g.paper AND l.act = g.act""")
+FROM l FULL JOIN g ON l.paper = g.paper AND l.act = g.act"""
+
+
+@query(MERGE)
 def composite_merge(spark, d):
     """Events merged into the last outcome of their key, or added."""
     e = t(spark, d, "events")
@@ -324,11 +378,17 @@ def composite_merge(spark, d):
     return j.select("paper", "act", "pos", F.when(new, F.col("first_ord")).alias("event_ord"), F.when(new | hit, F.col("last_ord")).alias("merged_from"), (hit | (new & F.coalesce(F.col("n") > 1, F.lit(False)))).alias("reconciled"))
 
 
+@query(f"SELECT act, count(*)::BIGINT AS n, count(merged_from)::BIGINT AS merged, count(*) FILTER (WHERE reconciled)::BIGINT AS reconciled FROM ({MERGE}) GROUP BY act")
+def provenance_counts(spark, d):
+    """V4: outcomes that events were merged into, and reconciled ones."""
+    return reconcile.provenance_counts(composite_merge(spark, d), ["act"])
+
+
 @query(f"""WITH r(id, pattern) AS (VALUES {', '.join(f"('{i}', '{p}')" for i, _, _, p in ROUTES)}) SELECT id AS rule, count(*)::BIGINT AS n FROM documents JOIN r ON regexp_matches(text, '(?i)' || pattern) GROUP BY id""")
 def regex_theta_join(spark, d):
     """Theta join with a literal rule table."""
-    table = spark.createDataFrame([(i, p) for i, _, _, p in ROUTES], "rule string, pattern string")
-    return reconcile.regex_join(t(spark, d, "documents"), "text", table).groupBy("rule").agg(F.count("*").alias("n"))
+    found = reconcile.regex_join(t(spark, d, "documents").select("text"), "text", {i: p for i, _, _, p in ROUTES})
+    return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("""WITH x AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN list_filter([CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN 'r_the' END, CASE WHEN regexp_matches(text, '(?i)\\band\\b') THEN 'r_and' END], lambda x: x IS NOT NULL)

@@ -151,3 +151,26 @@ def test_increments_are_idempotent(spark, tmp_path):
     (incoming / "2.json").write_text('{"id":"c"}\n')
     assert run_increments(spark, str(incoming), "id string", root, "id") == 1
     assert spark.read.parquet(f"{root}/ledger").count() == 3
+
+
+def test_progress_counts_effects_actions_and_tags(spark):
+    from foliant.operators import incremental
+
+    rows = [("a", ["x", "y"], [("resolved", "raised"), (None, "")]), ("b", ["x", ""], [("resolved", "kept")]), ("c", None, None)]
+    items = spark.createDataFrame(rows, "id string, research_tags array<string>, response_outcomes array<struct<effectiveness:string,score_action:string>>")
+    got = {(r["metric"], r["key"]): r["value"] for r in incremental.progress(items, 8).collect()}
+    assert got == {
+        ("analyzed_papers", None): 3.0, ("coverage_percent", None): 37.5, ("response_effectiveness", "resolved"): 2.0, ("response_effectiveness", "unknown"): 1.0,
+        ("score_actions", "raised"): 1.0, ("score_actions", "kept"): 1.0, ("score_actions", "unknown"): 1.0, ("top_research_tags", "x"): 2.0, ("top_research_tags", "y"): 1.0,
+    }
+
+
+def test_places_and_reconciled_ids(spark):
+    from foliant.operators import ranking, reconcile
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, 3), (2, 1), (2, 0), (1, 5), (None, 1)], "a int, b int")
+    got = ranking.places(df, {"a_": F.col("a")}, [F.asc_nulls_first("a"), F.asc("b")]).collect()
+    assert sorted((r["place"], r["a"], r["b"]) for r in got) == [(1, None, 1), (2, None, 3), (3, 1, 5), (4, 2, 0), (5, 2, 1)]
+    left, right = (spark.createDataFrame([(x,) for x in ids], "id long") for ids in ([1, 2, 2], [2, 3]))
+    assert {(r["id"], r["status"]) for r in reconcile.reconcile_ids(left, right, "id").collect()} == {(1, "missing"), (2, "both"), (3, "extra")}
