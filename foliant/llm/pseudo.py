@@ -52,6 +52,8 @@ PIECE, ADDED = 65_536, 256
 CELLS, CELL_PIECE, UNSEEN = 1 << 20, 1 << 12, 0.01
 #: Words that a task counts before it passes them on.
 COUNTED = 1_000_000
+#: Hash that stands for the place beyond an end of a text.
+EDGE = np.uint32(0)
 _hash = Bounded(xxhash.xxh32_intdigest, 96_000_000)
 
 
@@ -61,7 +63,7 @@ def words_of(text: str) -> list[bytes]:
 
 def word_hashes(text: str) -> np.ndarray:
     words = words_of(text)
-    return np.fromiter(map(_hash.__getitem__, words), np.uint32, len(words))
+    return np.maximum(np.fromiter(map(_hash.__getitem__, words), np.uint32, len(words)), EDGE + 1)
 
 
 def framed(ids: np.ndarray, edge: int) -> np.ndarray:
@@ -70,10 +72,6 @@ def framed(ids: np.ndarray, edge: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(wide, 2 * SIDE + 1)
 
 
-#: Hash that stands for the place beyond an end of a text.
-EDGE = np.uint32(0)
-
-
 class Counts:
     """Counts of words, merged as they come; ``full`` when it holds many."""
 
@@ -214,9 +212,15 @@ class Network:
             out[k : k + SCORED][order] = total
         return out
 
-    def shared(self, hashes: np.ndarray, ids: np.ndarray) -> float:
-        """Sum of the logarithms of words' parts of the ids that they share."""
-        return float(self.parts[hashes[ids >= KNOWN] & np.uint32(CELLS - 1)].sum(dtype=np.float64))
+    def of_stream(self, stream: np.ndarray) -> np.ndarray:
+        """Conditional log-probability of each word of a stream (of hashes, with edges)."""
+        ids = self.ids(stream)
+        words = stream[SIDE:-SIDE][stream[SIDE:-SIDE] != EDGE]
+        logs = self.log_probabilities(frames_of(ids, SIZE)).astype(np.float64)
+        own = ids[SIDE:-SIDE][ids[SIDE:-SIDE] != SIZE]
+        rare = own >= KNOWN  # these have a part of the id that they share
+        logs[rare] += self.parts[words[rare] & np.uint32(CELLS - 1)]
+        return logs
 
     def parameters(self) -> list[np.ndarray]:
         return [self.context, self.bias, self.top, self.middle, self.low]
@@ -270,25 +274,27 @@ class Network:
 
     def scores(self, texts: list[str]) -> tuple[list[int], list[float]]:
         """``score`` of many texts, short ones scored together and long ones in parts."""
+        gap = np.full(SIDE, EDGE)
         counts, sums, held, waiting = [0] * len(texts), [0.0] * len(texts), [], 0
 
         def flush() -> None:
             nonlocal held, waiting
             if held:
-                logs = self.log_probabilities(np.concatenate([f for _, f in held]))
-                starts = np.cumsum([0] + [len(f) for _, f in held[:-1]])
-                for (k, _), s in zip(held, np.add.reduceat(logs.astype(np.float64), starts).tolist(), strict=True):
+                logs = self.of_stream(np.concatenate([gap, *(x for _, part, _ in held for x in (part, gap))]))
+                starts = np.cumsum([0] + [n for _, _, n in held[:-1]])
+                for (k, _, _), s in zip(held, np.add.reduceat(logs, starts).tolist(), strict=True):
                     sums[k] += s
             held, waiting = [], 0
 
         for k, text in enumerate(texts):
             hashes = word_hashes(text)
-            ids = self.ids(hashes)
-            counts[k], sums[k] = len(ids), self.shared(hashes, ids)
-            frames = framed(ids, np.int32(SIZE)) if len(ids) else ids
-            for at in range(0, len(ids), AT_ONCE):
-                held.append((k, frames[at : at + AT_ONCE]))
-                waiting += len(held[-1][1])
+            counts[k] = n = len(hashes)
+            if n > AT_ONCE:
+                wide = np.concatenate([gap, hashes, gap])
+                sums[k] = sum(float(self.of_stream(wide[at : at + AT_ONCE + 2 * SIDE]).sum()) for at in range(0, n, AT_ONCE))
+            elif n:
+                held.append((k, hashes, n))
+                waiting += n
                 if waiting >= AT_ONCE:
                     flush()
         flush()
@@ -454,10 +460,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     shares[KNOWN:] = n.reshape(-1, SIZE - KNOWN).sum(0)
     network = Network.fresh({int(r["hash"]): k for k, r in enumerate(top)}, parts_of(n, words), shares)
     if positions and rounds:
-        streams = common.stored(dealt(seen.where("kind = 1"), network, -(-positions // REPLICA), rounds), "streams")
+        replicas = -(-positions // (REPLICA * rounds))  # of each round
+        streams = common.stored(dealt(seen.where("kind = 1"), network, replicas, rounds), "streams")
         common.discard(seen)
         for round_ in range(rounds):
-            network = trained(streams.where(F.col("round") == round_), network, -(-positions // REPLICA), 0.1 / (1 + round_))
+            network = trained(streams.where(F.col("round") == round_), network, replicas, 0.1 / (1 + round_))
         common.discard(streams)
     else:
         common.discard(seen)
