@@ -66,7 +66,7 @@ class Bounded(dict):
 class WordBpe:
     """``kept`` bounds the bytes of each dictionary; it changes speed, never ids."""
 
-    def __init__(self, path: str, kept: int = 32_000_000):
+    def __init__(self, path: str, kept: int = 64_000_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
