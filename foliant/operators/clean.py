@@ -51,10 +51,9 @@ def clean_messages(messages: DataFrame) -> DataFrame:
     lists are neither repeats nor seen; courtesies count as seen.
     """
     key = ["paper", "msg"]
-    df = messages.select(*key, text.split_lines(text.or_empty("text")).alias("_lines"))
-    lines = df.select(*key, F.posexplode("_lines").alias("line_pos", "line")).withColumn("quoted", text.is_quoted("line"))
-    quoted = lines.groupBy(*key).agg(F.count_if("quoted").alias("quoted_lines"))
-    lines = collapse_tables(lines.where("not quoted"), key)
+    df = messages.select(*key, text.split_lines(text.or_empty("text")).alias("_lines")).withColumn("_left", F.filter("_lines", lambda x: ~text.is_quoted(x)))
+    quoted = df.select(*key, (F.size("_lines") - F.size("_left")).alias("quoted_lines"))
+    lines = collapse_tables(df.select(*key, F.posexplode("_left").alias("line_pos", "line")), key)  # places without the quoted lines
     whole = lines.groupBy(*key).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_pos", "line"))), lambda x: x["line"]), "\n").alias("_text"),
         F.sum("table_lines").alias("table_lines"),
@@ -72,7 +71,7 @@ def clean_messages(messages: DataFrame) -> DataFrame:
         F.count_if("listed").alias("reference_blocks"), F.count_if("repeat").alias("duplicate_paragraphs"), F.count_if("courtesy").alias("courtesy_paragraphs"),
     )
     counts = ("quoted_lines", "table_lines", "reference_blocks", "duplicate_paragraphs", "courtesy_paragraphs")
-    df = messages.select(*key).join(quoted, key, "left").join(whole.select(*key, "table_lines"), key, "left").join(out, key, "left")
+    df = quoted.join(whole.select(*key, "table_lines"), key, "left").join(out, key, "left")
     df = df.withColumn("joined", text.or_empty("joined")).withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
     return df.select(*key, text.head_tail("joined").alias("cleaned"), *counts, (F.length("joined") > text.MOST).cast("long").alias("truncated"))
 

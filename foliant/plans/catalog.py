@@ -9,18 +9,14 @@ the packs below.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import incremental, packing, ranking, reconcile, sampling, stats
 from ..operators.clean import collapse_tables, first_occurrence
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import review_queries  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES, long, query, t  # noqa: F401
 
 # Packs for the driver's texts.
 CORE = {"thing": r"\bthing", "order": r"\bor", "between": r"entre"}
@@ -30,24 +26,6 @@ ROUTES = [("r_the", "en", "The", r"\bthe\b"), ("r_and", "en", "And", r"\band\b")
 ROUTE_ELSE = {"en": "r_and", "de": "r_der", "fr": "r_les", "es": "r_que"}
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def long(c) -> F.Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
-
-
 LINES = r"""lines AS (SELECT doc_id, i, trim(regexp_replace(l, '\s+', ' ', 'g')) AS line FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
 
