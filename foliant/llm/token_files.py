@@ -27,6 +27,22 @@ from . import common, files
 from .words import word_bpe
 
 LENGTH, ROWS, END = 1024, 256, 1
+#: Bytes of rows that are encoded together, and so share their distinct words.
+TOGETHER = 24 << 20
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Batches of ``least`` bytes or more, but for the last; none without rows."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def id_type(size: int) -> np.dtype:
@@ -127,23 +143,22 @@ def write_parts(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END,
     dealt = dealt.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
+        batches = gathered(batches)
+        first = next(batches, None)
         if first is None:
             return
         part, bpe = first.column(0)[0].as_py(), word_bpe(tokenizer)
-        kind, tail = id_type(max(len(bpe.strings), end_id + 1)), np.array([end_id], "<u4").tobytes()
+        kind = id_type(max(len(bpe.strings), end_id + 1))
         uri = f"{folder}/part-{part:06d}"
         index = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
         n_docs = 0
         with files.written_whole(f"{uri}.arrow") as sink, files.written_whole(f"{uri}.index.arrow") as side:
             out, notes, batch = SequenceWriter(sink, kind, length, rows), pa.ipc.new_stream(side, index), first
             while batch is not None:
-                at, sizes = out.total, []
-                for text in batch.column(2).to_pylist():
-                    ids = np.frombuffer(bpe.encode(text) + tail, "<u4")
-                    out.add(ids)
-                    sizes.append(len(ids))
-                places = at + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else []
+                at, (ids, sizes) = out.total, bpe.encode_all(batch.column(2))
+                out.add(np.insert(ids, np.cumsum(sizes), end_id))
+                sizes += 1
+                places = at + np.cumsum(sizes) - sizes
                 notes.write_batch(pa.record_batch([batch.column(1).cast(pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], schema=index))
                 n_docs += len(sizes)
                 batch = next(batches, None)

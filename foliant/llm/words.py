@@ -15,6 +15,9 @@ import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, models
 
@@ -63,6 +66,10 @@ class Bounded(dict):
         return value
 
 
+#: Pieces whose ids are gathered at once.
+GATHERED = 1 << 18
+
+
 class WordBpe:
     """``kept`` bounds the bytes of each dictionary; it changes speed, never ids."""
 
@@ -130,6 +137,31 @@ class WordBpe:
         """Ids of a whole text as little-endian 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a batch, end to end, and how many each has.
+
+        Arrow splits the texts and numbers their distinct pieces, so the dictionary is
+        asked once for each of those.  It holds those that the batch has more than once.
+        """
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        known, again = self.pieces.get, np.bincount(which, minlength=len(coded.dictionary)) > 1
+        found = []
+        for piece, held in zip(coded.dictionary.to_pylist(), again.tolist(), strict=True):
+            ids = known(piece)
+            found.append(ids if ids is not None else self.pieces[piece] if held else self._piece(piece))
+        sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        ends = np.cumsum(np.r_[0, sizes[which]])
+        ids = np.empty(int(ends[-1]), "<u4")
+        for k in range(0, len(which), GATHERED):
+            part = which[k : k + GATHERED]
+            first = ends[k : k + len(part)]
+            last = ends[k + len(part)]
+            ids[first[0] : last] = flat[np.repeat(starts[part] - first, sizes[part]) + np.arange(first[0], last)]
+        return ids, np.diff(ends[np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]])
+
     # words without an end ------------------------------------------------------------
     @property
     def open_model(self):

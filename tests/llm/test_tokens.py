@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from foliant.llm import bpe_tree, common, token_files
@@ -34,6 +35,19 @@ def test_encoders_match_the_library():
         assert tree.decode(np.array(want, "<u4").tobytes()) == bpe.library.decode(want, skip_special_tokens=False)
 
 
+def test_a_batch_is_encoded_as_its_texts_are():
+    bpe, some = word_bpe(PATH), [*texts(300, 3), "", "two  gaps\n\n", "the the the"]
+    for given in (some, some[:1], [], ["", ""]):
+        ids, sizes = bpe.encode_all(pa.array(given, pa.string()))
+        want = [bpe.library.encode(s, add_special_tokens=False).ids for s in given]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+    batches = [pa.record_batch([pa.array(["a" * n] * m, pa.string())], ["text"]) for n, m in ((3, 0), (5, 4), (900, 3), (2, 2))]
+    got = list(token_files.gathered(iter(batches), 1000))
+    assert [b.num_rows for b in got] == [7, 2]
+    assert list(token_files.gathered(iter(batches[:1]))) == []
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, t, "x") for k, t in enumerate(texts(40, 2))] + [(3, None, "x"), (3, None, "x"), (5, "again", None), (5, "again", None), (None, "no id", "y")]
