@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
+def release() -> None:
+    """Give back to the system what Arrow holds of batches that are gone."""
+    pa.default_memory_pool().release_unused()
+
+
 def rows(batch, *columns: int) -> Iterator[tuple]:
     """A batch's rows (of some columns), made one at a time."""
-    return zip(*((x.as_py() for x in batch.column(i)) for i in columns or range(batch.num_columns)), strict=True)
+    yield from zip(*((x.as_py() for x in batch.column(i)) for i in columns or range(batch.num_columns)), strict=True)
+    release()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

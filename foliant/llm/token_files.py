@@ -161,6 +161,8 @@ def write_parts(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END,
                 places = at + np.cumsum(sizes) - sizes
                 notes.write_batch(pa.record_batch([batch.column(1).cast(pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], schema=index))
                 n_docs += len(sizes)
+                ids = first = batch = None
+                common.release()
                 batch = next(batches, None)
             out.close()
             notes.close()
