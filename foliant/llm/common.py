@@ -19,7 +19,7 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 #: Bytes of the batches in which Spark passes rows to Python, where the session says nothing.
-BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -212,8 +212,9 @@ def _shared(keys: DataFrame) -> DataFrame:
             same = token[1:] == token[:-1]
             kept = np.r_[before, same] | np.r_[same, False] | (salt > 0)
             before = bool(same[-1]) if len(same) else before
-            held = [x[-1:] for x in now]
+            held = [x[-1:].copy() for x in now]
             yield out(now, kept[:-1], slice(0, -1))
+            common.release()
         if held is not None:
             yield out(held, np.array([before]) | (held[1] > 0), slice(None))
 
@@ -330,6 +331,7 @@ def _within(chunks: DataFrame, per_cent: int) -> DataFrame:
             for members in b.column(0):
                 own = Chunk(members.values, per_cent)
                 yield _reached(own, own, links(own, own, per_cent))
+            common.release()
 
     return chunks.where(F.size("members") > 1).select("members").mapInArrow(run, "node long, root long, links long")
 
@@ -342,6 +344,7 @@ def _between(pairs: DataFrame, chunks: DataFrame, per_cent: int) -> DataFrame:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = (Chunk(m.values, per_cent) for m in (x, y))
                 yield _reached(a, b, links(a, b, per_cent))
+            common.release()
 
     side = lambda c: chunks.select(F.col("chunk").alias(c), F.col("members").alias(f"in_{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("in_a", "in_b")

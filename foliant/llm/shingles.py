@@ -5,14 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .words import Bounded
-
 U = np.uint64
 #: Odd factors of the shingle polynomial and of the finishing mix.
 BASE, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
-_hashes = Bounded(xxhash.xxh64_intdigest, 32_000_000)
-
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values; another one for each seed."""
@@ -24,7 +20,7 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), U, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
 
 
 def contract_words(text: str) -> list[bytes]:
