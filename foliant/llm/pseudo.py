@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .words import Bounded
 
 #: Words on each side, width of the network, words that have an id of their own.
 SIDE, WIDTH, KNOWN = 2, 16, 16_128
@@ -54,7 +53,6 @@ CELLS, CELL_PIECE, UNSEEN = 1 << 20, 1 << 12, 0.01
 COUNTED = 1_000_000
 #: Hash that stands for the place beyond an end of a text.
 EDGE = np.uint32(0)
-_hash = Bounded(xxhash.xxh32_intdigest, 96_000_000)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -63,7 +61,7 @@ def words_of(text: str) -> list[bytes]:
 
 def word_hashes(text: str) -> np.ndarray:
     words = words_of(text)
-    return np.maximum(np.fromiter(map(_hash.__getitem__, words), np.uint32, len(words)), EDGE + 1)
+    return np.maximum(np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)), EDGE + 1)
 
 
 def framed(ids: np.ndarray, edge: int) -> np.ndarray:
