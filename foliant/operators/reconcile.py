@@ -34,8 +34,8 @@ def routed(papers: DataFrame, patterns: list[tuple[str, str, str, str]], fallbac
 
 
 def regex_join(rows: DataFrame, search: str, patterns: dict[str, str], rule: str = "rule") -> DataFrame:
-    """A row for each literal pattern that occurs in a text: unrolled, each is compiled once."""
-    hits = F.filter(F.array(*[F.when(F.col(search).rlike(f"(?i){p}"), F.lit(i)) for i, p in patterns.items()]), lambda x: x.isNotNull())
+    """A row for each literal pattern that occurs in a text, as RE2 reads it: unrolled, each is compiled once."""
+    hits = F.filter(F.array(*[F.when(F.col(search).rlike(rules.as_re2(p)), F.lit(i)) for i, p in patterns.items()]), lambda x: x.isNotNull())
     return rows.withColumn(rule, F.explode(hits))
 
 
